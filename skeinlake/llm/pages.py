@@ -42,6 +42,24 @@ AGO = re.compile(r"\b\d+\s+(?:second|minute|hour|day|week|month|year)s?\s+ago\b|
 ADVERT = re.compile(r"\s*(?:sponsored|advertisements?|advert|anzeige|werbung|gesponsert|publicité|sponsorisé|publicidad|patrocinado|anuncio|publicidade|pubblicità|sponsorizzato|advertentie|gesponsord|реклама|广告)\b\s*[.:!–—-]", re.I)
 READ_ALSO = re.compile(r"\s*(?:read (?:also|more|next)|see also|also read|related|more on this|lesen sie auch|lies auch|siehe auch|mehr dazu|à lire aussi|lire aussi|voir aussi|lea también|ver también|leia também|veja também|leggi anche|vedi anche|lees ook|zie ook|читайте также|см\. также|相关阅读|另见)\s*[:：–—-]", re.I)
 COOKIE = re.compile(r"cookie|cookies|einwilligung|datenschutz|données sur votre appareil|information on your device|informationen auf ihrem|privacy|partners store|куки", re.I)
+#: Longest block that can be a line of furniture.
+FURNITURE_CHARS = 120
+#: Lines of furniture that sites put inside the main column: prompts, bylines, notices. Whole short blocks only.
+FURNITURE = re.compile(
+    r"\W*(?:"
+    r"share (?:this|on|via|with)\b|follow (?:us|\w+(?: \w+)?) on\b|was this (?:page|article|post|answer)|copyright\b|©|all rights reserved|comments are closed|written by\b|posted by\b|by [\w.'-]+ [\w.'-]+(?: \||,? on \d|, \d)"
+    r"|edit this page|improve this page|report (?:this|an error)|sponsored by|last (?:checked|updated|modified|reviewed|edited)\b|subscribe to|sign up (?:for|to)|join our|get our|read more (?:posts|about|articles|from)|more (?:posts|articles) (?:about|from|by)|we use cookies|this site uses cookies|tags ?:|filed under|posted in|categories ?:|print this|leave a (?:comment|reply)|skip to|back to top|the views (?:on|expressed)|legal notice|privacy notice|terms of (?:use|service)|[\w.'-]+(?: [\w.'-]+)? is a (?:registered )?(?:trade)?mark\b|\d+ min(?:ute)?s? read\b"
+    r"|diesen beitrag\b.*teilen|diese seite\b.*teilen|teilen sie\b|folgen sie\b|war diese seite|alle rechte|impressum|datenschutz\b|die kommentare sind|kommentare (?:sind )?geschlossen|geschrieben von|verfasst von|von [\w.'-]+ [\w.'-]+ am \d|abonnieren sie|rundbrief\b|gesponsert von|zuletzt (?:geprüft|aktualisiert|geändert)|seite bearbeiten|mehr beiträge|weitere beiträge|wir verwenden cookies|wir nutzen cookies|schlagwörter ?:|die meinungen|.{0,60}\bist eine eingetragene marke"
+    r"|partage[zr]\b|suivez(?:-nous)?\b|cette page vous a-t-elle|tous droits|mentions légales|les commentaires sont|commentaires fermés|rédigé par|écrit par|publié par|par [\w.'-]+ [\w.'-]+, le \d|abonnez-vous|recevez la lettre|recevez notre|sponsorisé par|dernière (?:vérification|mise à jour) (?:le|par|du)|modifier cette page|plus d'articles|lire plus d|les avis publiés|nous utilisons des cookies|mots-clés ?:|étiquettes ?:"
+    r"|comparte\b|compartir\b|síguenos|siga a\b|¿te ha resultado útil|¿le ha sido útil|todos los derechos|aviso legal|comentarios cerrados|escrito por|publicado por|por [\w.'-]+ [\w.'-]+, el \d|suscríbase|suscríbete|reciba\b|patrocinado por|última actualización|editar esta página|usamos cookies|utilizamos cookies|etiquetas ?:"
+    r"|compartilhe\b|siga-nos|esta página foi útil|todos os direitos|comentários (?:estão )?(?:fechados|encerrados)|assine\b|inscreva-se|receba\b|última atualização|edite esta página"
+    r"|condividi\b|seguici|questa pagina (?:è stata|ti è stata) utile|tutti i diritti|note legali|commenti chiusi|scritto da|pubblicato da|iscriviti|ricevi\b|sponsorizzato da|ultimo aggiornamento|modifica questa pagina|usiamo i cookie"
+    r"|deel deze|volg ons|was deze pagina|alle rechten|reacties zijn gesloten|geschreven door|abonneer|schrijf u in|gesponsord door|laatst (?:gewijzigd|bijgewerkt)|bewerk deze|wij gebruiken cookies"
+    r"|поделит|подпис|все права|комментарии закрыты|автор ?:|мы используем|分享|关注我们|版权所有|评论已关闭|订阅"
+    r")",
+    re.I,
+)
+FOOTER = re.compile(r"©|\s[·|•]\s|\(c\) \d{4}|all rights reserved", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:left|top|text-indent)\s*:\s*-\d{3,}|font-size\s*:\s*0(?![.\d])|opacity\s*:\s*0(?![.\d])", re.I)
 SPLIT_CLASS = re.compile(r"[^a-z0-9]+")
 
@@ -61,10 +79,12 @@ class Segment:
 
 
 class Page:
-    __slots__ = ("title", "segments", "is_html", "tree", "blocks")
+    """``junk`` holds the orders of the elements where boilerplate or hidden parts begin."""
+
+    __slots__ = ("title", "segments", "is_html", "tree", "blocks", "junk")
 
-    def __init__(self, title, segments, is_html, tree, blocks):
-        self.title, self.segments, self.is_html, self.tree, self.blocks = title, segments, is_html, tree, blocks
+    def __init__(self, title, segments, is_html, tree, blocks, junk):
+        self.title, self.segments, self.is_html, self.tree, self.blocks, self.junk = title, segments, is_html, tree, blocks, junk
 
 
 def _stats(nodes: list[Node]) -> list[tuple]:
@@ -160,7 +180,7 @@ def _structural_junk(n: Node, stats: list, inside: bool, after_own: bool) -> str
         direct = sum(k.tag == "a" for k in kids)
         if not h and a >= 2 and l >= 0.6 * t:
             return "nav"
-        if not h and (direct >= 2 and direct * 2 >= len(kids) - p or after_own and (a >= 2 or "©" in n.text())):
+        if not h and (direct >= 2 and direct * 2 >= len(kids) - p or (a >= 2 or after_own) and FOOTER.search(n.text())):
             return "footer"
         if n.tag != "p" and t <= 60 and not p and not a and len(kids) == 1 and kids[0].tag in ("b", "h1", "strong", "img", "h2") and n.parent is not None and n.parent.tag in ("body", "html", "#root", "header"):
             return "header"
@@ -202,8 +222,9 @@ def read_page(html: str | None) -> Page:
             region = region.parent
     elif "main" in names or "article" in names:
         region = next(n for n in nodes if n.tag in ("main", "article"))
+    own_at = region.order if region is not None else None
     if region is not None and region.tag in ("body", "html", "#root"):
-        region = None
+        region, own_at = None, h1.order if h1 is not None else None
     n = region
     while n is not None:
         above.add(n.order)
@@ -218,6 +239,7 @@ def read_page(html: str | None) -> Page:
     junk, hidden, code, link, pre = [""], 0, 0, 0, 0
     block_tag = [("", 0)]
     region_depth = 0
+    junk_at: set[int] = set()
 
     def flush():
         nonlocal links, n_links
@@ -276,11 +298,15 @@ def read_page(html: str | None) -> Page:
                 if len(kids) == 1 and kids[0].__class__ is str and (tag != "p" and tag != "blockquote" or not ADVERT.match(kids[0])):
                     t = " ".join(kids[0].split())
                     if t:
+                        j = junk[-1]
+                        if not j and tag == "p" and len(t) < FURNITURE_CHARS and FURNITURE.match(t):
+                            j = "furniture"
+                            junk_at.add(x.order)
                         if open_blocks:
                             for b in open_blocks:
                                 blocks[b][1] = True
-                        blocks.append([tag, True, junk[-1], hidden > 0])
-                        segments.append(Segment(t, tag, len(blocks), len(t) if link else 0, 0, junk[-1], hidden > 0, code > 0, ()))
+                        blocks.append([tag, True, j, hidden > 0])
+                        segments.append(Segment(t, tag, len(blocks), len(t) if link else 0, 0, j, hidden > 0, code > 0, ()))
                     else:
                         blocks.append([tag, False, junk[-1], hidden > 0])
                     continue
@@ -296,21 +322,25 @@ def read_page(html: str | None) -> Page:
                 elif x.order not in above:
                     kind = _named_junk(x)
                     if not kind and tag in CONTAINER:
-                        kind = _structural_junk(x, stats, region_depth > 0, region is not None and x.order > region.order)
+                        kind = _structural_junk(x, stats, region_depth > 0, own_at is not None and x.order > own_at)
             if not kind and tag in ("p", "blockquote"):
                 s = stats[x.order]
-                own = x.text() if s[0] and (s[2] or s[0] < 200) else ""
+                own = x.text().strip() if s[0] and (s[2] or s[0] < 200) else ""
                 if own and ADVERT.match(own):
                     kind = "promo"
                 elif s[2] and s[1] >= 0.5 * s[0] and READ_ALSO.match(own):
                     kind = "promo"
+                elif tag == "p" and own and len(own) < FURNITURE_CHARS and FURNITURE.match(own):
+                    kind = "furniture"
             if kind:
                 junk.append(kind)
+                junk_at.add(x.order)
                 was |= 1
         if len(x.raw) > 1 and ("style" in x.raw or "hidden" in x.raw or "STYLE" in x.raw):
             a = x.attrs
             if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
                 hidden += 1
+                junk_at.add(x.order)
                 was |= 2
         if tag == "font" and re.search(r"#f{3}(?:f{3})?\b|white", x.get("color"), re.I):
             hidden += 1
@@ -345,7 +375,7 @@ def read_page(html: str | None) -> Page:
         todo.append((0, x, was))
         todo.extend(reversed(x.children))
     flush()
-    return Page(title, segments, is_html, tree, blocks)
+    return Page(title, segments, is_html, tree, blocks, junk_at)
 
 
 INLINE_CODE = re.compile("\x02[^\x03]*\x03?")
