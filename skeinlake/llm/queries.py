@@ -126,7 +126,7 @@ keyed AS (
 often AS (SELECT site, letters FROM keyed WHERE letters <> '' AND site <> '' GROUP BY ALL HAVING count(DISTINCT document_id) >= 4),
 found AS (SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM keyed JOIN often USING (site, letters))
 """
-_SIZE = "((ceil(length({t}) / 4.0) + ceil(len(list_filter(regexp_split_to_array({t}, '\\s+'), w -> w <> '')) * 4 / 3.0))::BIGINT // 2)"
+_SIZE = "((ceil(length({t}) / 4.0) + ceil(len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')) * 4 / 3.0))::BIGINT // 2)"
 
 ORACLES = {
     "p2_found": f"WITH {_LINES} SELECT chunk_id, line_no FROM found",
