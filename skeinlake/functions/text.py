@@ -4,7 +4,7 @@ Nulls give nulls, empty texts give empty arrays or zero, unless a docstring says
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: words that carry no relevance in link ranking and in query expansion
 RANK_STOPWORDS = "the to in of on at by an as is it or and for that this with from are was com org net html php http https www".split()
@@ -72,21 +72,28 @@ def page_hash(text: Column) -> Column:
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
-def _token_bits(token: Column) -> Column:
-    """First 60 bits of the token's SHA-256, as a number."""
-    return F.conv(F.substring(F.sha2(token, 256), 1, 15), 16, 10).cast("long")
+def fold(text: Column) -> Column:
+    """Lower case of one character for each, whatever stands around it."""
+    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
 
 
-def simhash(text: Column, bits: int = 60) -> Column:
-    """Fingerprint of words (weight 2) and adjacent word pairs (weight 1); similar texts differ in few bits. No words give 0."""
-    w = words(F.lower(text))
+def simhash(docs: DataFrame, key: str, text: str, bits: int = 60) -> DataFrame:
+    """``key, fingerprint`` from words (weight 2) and adjacent word pairs (weight 1); similar texts differ in few bits.
+
+    Texts without words have fingerprint 0, nulls have no row. Each vote is a sum that Spark combines
+    before the shuffle, so one row per document is shuffled.
+    """
+    w = F.col("_w")
     n = F.size(w)
     pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)).alias("t"), F.lit(1).alias("w"))))
     features = F.concat(F.transform(w, lambda t: F.struct(t.alias("t"), F.lit(2).alias("w"))), F.coalesce(pairs, F.array().cast("array<struct<t:string,w:int>>")))
-    hashed = F.transform(features, lambda x: F.struct(_token_bits(x["t"]).alias("h"), x["w"].alias("w")))
-    zero = F.array_repeat(F.lit(0), bits)
-    votes = F.aggregate(hashed, zero, lambda acc, x: F.transform(acc, lambda v, i: v + F.when(x["h"].bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0, x["w"]).otherwise(-x["w"])))
-    return F.aggregate(F.transform(votes, lambda v, i: F.when(v > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    x = docs.filter(F.col(text).isNotNull()).select(key, words(fold(F.col(text))).alias("_w")).select(key, F.explode_outer(features).alias("x"))
+    hashed = x.select(key, F.conv(F.substring(F.sha2("x.t", 256), 1, 15), 16, 10).cast("long").alias("h"), F.col("x.w").alias("w"))
+    votes = hashed.groupBy(key).agg(*[F.sum(F.when(F.col("h").bitwiseAND(1 << i) != 0, F.col("w")).otherwise(-F.col("w"))).alias(f"v{i}") for i in range(bits)])
+    fingerprint = F.lit(0).cast("long")
+    for i in range(bits):
+        fingerprint = fingerprint + F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return votes.select(key, fingerprint.alias("fingerprint"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -29,9 +29,17 @@ def query_tokens(query: str) -> list[str]:
     return out
 
 
+def _weighted(w: float):
+    return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+
+
+def _is(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def postings(chunks: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """``key, term, wtf`` with a term's weighted frequency over the fields (``title``, ``heading``, ``url``, ``body``)."""
-    parts = [F.transform(F.coalesce(text.index_tokens(c), F.array().cast("array<string>")), lambda t, w=WEIGHTS[f]: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, c in fields.items()]
+    parts = [F.transform(F.coalesce(text.index_tokens(c), F.array().cast("array<string>")), _weighted(WEIGHTS[f])) for f, c in fields.items()]
     return chunks.select(key, F.explode(F.concat(*parts)).alias("x")).groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.w").alias("wtf"))
 
 
@@ -58,7 +66,7 @@ def bm25(chunks: DataFrame, key: str, fields: dict[str, Column], query: str, can
     for f, c in fields.items():
         dl = dl + F.coalesce(F.size(F.col(f"_{f}")), F.lit(0))
         for t in terms:
-            weighted[t] = weighted[t] + F.lit(WEIGHTS[f]) * F.coalesce(F.size(F.filter(F.col(f"_{f}"), lambda x, t=t: x == t)), F.lit(0))
+            weighted[t] = weighted[t] + F.lit(WEIGHTS[f]) * F.coalesce(F.size(F.filter(F.col(f"_{f}"), _is(t))), F.lit(0))
     tokenised = chunks.select(key, *[text.index_tokens(c).alias(f"_{f}") for f, c in fields.items()], *[c.alias(f"_text_{f}") for f, c in fields.items()], *([candidates.alias("_ok")] if candidates is not None else []))
     scored = tokenised.select(key, F.greatest(dl, F.lit(1)).cast("double").alias("dl"), *[weighted[t].alias(f"w{i}") for i, t in enumerate(terms)], F.coalesce(F.contains(F.lower(F.col("_text_body")), F.lit(query.lower())), F.lit(False)).alias("phrase"), *(["_ok"] if candidates is not None else []))
     stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
@@ -79,7 +87,7 @@ def knn(vectors: DataFrame, key: str, embedding: str, query: list[float], limit:
     """``key, score`` of the vectors most similar to one query vector: ``(cosine + 1) / 2`` within 0 and 1; other dimensions are skipped."""
     q = F.array(*[F.lit(float(v)) for v in query])
     sim = text.cosine(F.col(embedding), q)
-    x = vectors.select(key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (sim + 1) / 2)), 6).alias("score")).filter(F.col("score").isNotNull())
+    x = vectors.select(key, sim.alias("sim")).filter(F.col("sim").isNotNull()).select(key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sim") + 1) / 2)), 6).alias("score"))
     if min_score is not None:
         x = x.filter(F.col("score") >= min_score)
     return x.orderBy(F.desc("score"), key).limit(limit)

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from skeinlake.plans import search, texts, urls
+
+MODULES = (urls, texts, search)
 
 
 def queries() -> dict:
@@ -15,4 +17,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/chunk_vectors.parquet").groupBy("index_id").count()
+    """Hybrid retrieval: BM25 and vectors, fused, diversified and packed."""
+    return search.hybrid(spark, sf)
