@@ -9,7 +9,9 @@ its best ``RERANK`` candidates of each block are ranked again by exact cosine.
 
 Bound of the fit: centroids and codebooks are trained on at most ``SAMPLE`` vectors chosen by hash;
 every vector is indexed and queried. Cells are cut into blocks of about ``BLOCK`` rows on both sides,
-so that a cell which holds a third of all vectors is spread over many tasks. Exactly equal vectors are
+so that a cell which holds a third of all vectors is spread over many tasks. Where the sample is too
+small to train a centroid for every ``CELL`` vectors, cells are pairs of a centroid and one of up to
+256 residual centroids that all cells share, which keeps their number in proportion to the rows. Exactly equal vectors are
 one row of the index with its members; results are expanded to members at the end.
 
 Defined results: nulls, vectors with a null, NaN or infinite component, all-zero vectors and vectors
@@ -29,7 +31,7 @@ K = 5
 SAMPLE = 16_384
 CELL = 512
 BOOKS, WORDS, BEAM = 8, 256, 4
-PROBES, MARGIN = 10, 0.15
+PROBES, MARGIN = 8, 0.12
 BLOCK, RERANK = 2048, 32
 
 
@@ -59,8 +61,11 @@ class Quantizer:
     def __init__(self, sample: np.ndarray, cells: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         x = sample.astype(np.float32)
-        self.centroids = _kmeans(x, min(cells, max(1, len(x) // 16)), 8, rng, spherical=True)
-        r = x - self.centroids[(x @ self.centroids.T).argmax(axis=1)]
+        self.coarse = _kmeans(x, min(cells, max(1, len(x) // 16)), 8, rng, spherical=True)
+        r = x - self.coarse[(x @ self.coarse.T).argmax(axis=1)]
+        parts = min(256, cells // len(self.coarse))
+        self.parts = _kmeans(r, parts, 8, rng) if parts > 1 else np.zeros((1, x.shape[1]), np.float32)
+        r = x - self.centroid(self._cells(x)[0])
         words = max(1, min(WORDS, len(x) // 4))
         books, rest = [], r.copy()
         for _ in range(BOOKS):
@@ -102,25 +107,43 @@ class Quantizer:
         best = (rest * rest).sum(axis=2).argmin(axis=1)
         return codes[np.arange(n), best]
 
+    def centroid(self, cell) -> np.ndarray:
+        n = len(self.parts)
+        return self.coarse[np.asarray(cell) // n] + self.parts[np.asarray(cell) % n]
+
+    def _cells(self, v: np.ndarray):
+        """The cell of each vector, and the cells to probe."""
+        sims = v @ self.coarse.T
+        n = len(self.parts)
+        p = min(PROBES, sims.shape[1])
+        near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
+        value = np.take_along_axis(sims, near, axis=1)
+        if n > 1:
+            near = (near[:, :, None] * n + np.arange(n)).reshape(len(v), -1)
+            c = self.centroid(near)
+            value = np.einsum("vd,vcd->vc", v, c) / np.maximum(np.linalg.norm(c, axis=2), 1e-6)
+            top = np.argpartition(-value, p - 1, axis=1)[:, :p]
+            near, value = np.take_along_axis(near, top, axis=1), np.take_along_axis(value, top, axis=1)
+        best = value.argmax(axis=1)
+        here = np.arange(len(v))
+        close = value >= value[here, best][:, None] - MARGIN
+        return near[here, best], [near[i, close[i]] for i in range(len(v))]
+
     def encode(self, x: np.ndarray):
         """Cell, codes, norm of the reconstruction, and the cells to probe, of unit vectors."""
         cells, codes, norms, probes = [], [], [], []
-        for s in range(0, len(x), 1024):
-            v = x[s : s + 1024]
-            sims = v @ self.centroids.T
-            cell = sims.argmax(axis=1)
-            code = self._beam(v - self.centroids[cell])
+        for s in range(0, len(x), 512):
+            v = x[s : s + 512]
+            cell, probe = self._cells(v)
+            code = self._beam(v - self.centroid(cell))
             cells.append(cell)
             codes.append(code)
             norms.append(np.linalg.norm(self.reconstruct(cell, code), axis=1))
-            p = min(PROBES, sims.shape[1])
-            near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
-            close = np.take_along_axis(sims, near, axis=1) >= sims.max(axis=1)[:, None] - MARGIN
-            probes += [near[i, close[i]] for i in range(len(v))]
+            probes += probe
         return np.concatenate(cells), np.concatenate(codes), np.concatenate(norms), probes
 
     def reconstruct(self, cell, codes: np.ndarray) -> np.ndarray:
-        out = self.centroids[cell].copy()
+        out = self.centroid(cell).copy()
         for m in range(self.books.shape[0]):
             out += self.books[m][codes[:, m]]
         return out
@@ -129,7 +152,7 @@ class Quantizer:
         """Positions and exact cosines of the best rows of one block for each query, best first."""
         n = len(codes)
         tables = np.einsum("qd,mkd->mqk", queries, self.books, optimize=True)
-        first = queries @ self.centroids[cell]
+        first = queries @ self.centroid(cell)
         score = np.repeat(first[:, None], n, axis=1)
         for m in range(len(tables)):
             score += np.take(tables[m], codes[:, m], axis=1)
@@ -142,13 +165,13 @@ class Quantizer:
 
 
 def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """``id, v``: one row per key with a usable vector of the most frequent dimension."""
+    """``id, v`` of the rows with a usable vector of the most frequent dimension."""
     x = vectors.select(F.col(key).cast("string").alias("id"), F.col(embedding).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     dims = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not dims:
         return x.limit(0)
     finite = ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return x.filter((F.size("v") == dims[0]["d"]) & finite & F.exists("v", lambda e: e != 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return x.filter((F.size("v") == dims[0]["d"]) & finite & F.exists("v", lambda e: e != 0))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -175,90 +198,99 @@ def fit(index: DataFrame, sample: int = SAMPLE) -> tuple[Quantizer | None, int]:
     return Quantizer(x[: 2 * sample], max(1, n // CELL)), n
 
 
+NEAR = "array<struct<s:double,id:string,m:boolean>>"
+
+
 def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embedding", k: int = K) -> DataFrame:
     """``id, neighbour, similarity, rank``: the k most similar keys of every key by cosine."""
     spark = vectors.sparkSession
-    each = usable(vectors, key, embedding)
-    # equal vectors: the least id stands for all; members are numbered where few are needed
-    members = written(each.select("id", "v", F.xxhash64("v", F.lit(1)).alias("g"), F.xxhash64("v").alias("h")))
-    index = members.groupBy("g", "h").agg(F.min(F.struct("id", "v")).alias("x"), F.count("*").alias("n")).select("x.id", "x.v", "g", "h", "n")
-    quantizer, _ = fit(members.select("id", "v"))
+    rows = usable(vectors, key, embedding).withColumn("g", F.xxhash64("v", F.lit(1))).withColumn("h", F.xxhash64("v"))
+    # equal vectors are one row of the index, named by the least id; m tells that others share it
+    index = rows.groupBy("g", "h").agg(F.min(F.struct("id", "v")).alias("x"), F.max("id").alias("last")).select(F.col("x.id").alias("id"), F.col("x.v").alias("v"), "g", "h", (F.col("x.id") != F.col("last")).alias("m"))
+    quantizer, _ = fit(rows.select("id", "v"))
     if quantizer is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
     shared = spark.sparkContext.broadcast(quantizer)
 
     def encode(b):
-        q = shared.value
-        cell, codes, norms, probes = q.encode(_unit(_matrix(b.column(1))))
-        return {"id": b.column(0), "v": b.column(1), "copies": b.column(2), "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32), "probes": [p.tolist() for p in probes]}
+        cell, codes, norms, probes = shared.value.encode(_unit(_matrix(b.column(1))))
+        same = {c: b.column(i) for i, c in enumerate(("id", "v", "g", "h", "m"))}
+        return same | {"cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32), "probes": [p.tolist() for p in probes]}
 
-    coded = written(map_arrow(index.select("id", "v", "n"), encode, "id string, v array<float>, copies long, cell int, codes binary, norm float, probes array<int>"))
+    coded = written(map_arrow(index, encode, "id string, v array<float>, g long, h long, m boolean, cell int, codes binary, norm float, probes array<int>"))
     # rows of each cell and visits to it, one row per cell of the fit
     held = coded.groupBy("cell").count()
     visits = coded.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.count("*").alias("visits"))
-    plan = {r["cell"]: (max(1, -(-r["count"] // BLOCK)), max(1, -(-(r["visits"] or 0) // (8 * BLOCK)))) for r in held.join(visits, "cell", "left").collect()}
-    blocks = F.create_map(*[F.lit(x) for c, (b, _) in plan.items() for x in (c, b)])
-    sides = F.create_map(*[F.lit(x) for c, (_, q) in plan.items() for x in (c, q)])
+    plan = held.join(visits, "cell", "left").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil(F.coalesce("visits", F.lit(0)) / (8 * BLOCK)), F.lit(1)).cast("int").alias("sides"))
     place = F.xxhash64("id")
-    base = coded.select(
-        "cell", F.pmod(place, blocks[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), (sides[F.col("cell")] - 1).cast("int"))).alias("side"), "id", "v", "codes", "norm"
+    shape = plan.select("cell", "blocks", "sides")
+    base = coded.select("cell", "id", "v", "m", "codes", "norm").join(shape, "cell").select(
+        "cell", F.pmod(place, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "id", "v", "m", "codes", "norm"
     )
-    visit = coded.select(F.explode("probes").alias("cell"), "id", "v").filter(blocks[F.col("cell")].isNotNull())
-    query = visit.select(
-        "cell", F.explode(F.sequence(F.lit(0), (blocks[F.col("cell")] - 1).cast("int"))).alias("block"), F.pmod(place, sides[F.col("cell")]).cast("int").alias("side"), "id", "v",
+    query = coded.select(F.explode("probes").alias("cell"), "id", "v", "m").join(shape, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, F.col("sides")).cast("int").alias("side"), "id", "v", "m",
         F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"),
     )
-    schema = "id string, neighbour string, similarity double"
 
     def search(t: pa.Table) -> pa.Table:
         q = shared.value
         is_base = t.column("codes").is_valid().to_numpy()
-        ids = t.column("id").to_numpy()
+        ids, multiple = t.column("id").to_numpy(), t.column("m").to_numpy()
         vectors = _unit(_matrix(t.column("v")))
         cell = t.column("cell")[0].as_py()
         own, ask = np.flatnonzero(is_base), np.flatnonzero(~is_base)
         codes = np.frombuffer(b"".join(c for c in t.column("codes").to_pylist() if c is not None), dtype=np.uint8).reshape(len(own), -1)
         norms = t.column("norm").to_numpy()[own].astype(np.float32)
-        order = np.argsort(ids[own], kind="stable") if len(own) else np.zeros(0, np.int64)
+        order = np.argsort(ids[own], kind="stable")
         own, codes, norms = own[order], codes[order], norms[order]
-        left, right, sims = [], [], []
-        if len(own):
-            for s in range(0, len(ask), 512):
-                part = ask[s : s + 512]
-                at, sim = q.search(vectors[part], cell, codes, norms, vectors[own], k + 1)
-                a, b = np.repeat(ids[part], at.shape[1]), ids[own][at.ravel()]
-                ok = a != b
-                left.append(a[ok])
-                right.append(b[ok])
-                sims.append(sim.ravel()[ok])
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"id": pa.array(cat(left, object), pa.string()), "neighbour": pa.array(cat(right, object), pa.string()), "similarity": pa.array(cat(sims, np.float64), pa.float64())})
-
-    found = base.unionByName(query).groupBy("cell", "block", "side").applyInArrow(search, schema)
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    near = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return _expand(near, members, index, k)
-
-
-def _expand(near: DataFrame, members: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """From neighbours between distinct vectors to neighbours between all keys; equal vectors come first."""
-    ranked = members.select("id", "g", "h").withColumn("no", F.row_number().over(Window.partitionBy("g", "h").orderBy("id"))).filter(F.col("no") <= k + 1)
-    few = ranked.groupBy("g", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "id"))), lambda x: x["id"]).alias("few"))
-    head = index.select(F.col("id").alias("head"), "g", "h", "n")
-    heads = head.join(few, ["g", "h"]).select("head", "g", "h", "few", "n")
-    # lists of neighbouring groups, spelled out by at most k + 1 members each
-    spelled = (
-        near.join(heads.select(F.col("head").alias("neighbour"), "few"), "neighbour")
-        .select(F.col("id").alias("head"), "similarity", F.explode("few").alias("neighbour"))
+        offsets, near, sims = [np.zeros(1, np.int64)], [], []
+        for s in range(0, len(ask) if len(own) else 0, 512):
+            part = ask[s : s + 512]
+            at, sim = q.search(vectors[part], cell, codes, norms, vectors[own], k + 1)
+            other = own[at]
+            ok = ids[other] != ids[part][:, None]
+            ok &= np.cumsum(ok, axis=1) <= k
+            near.append(other[ok])
+            sims.append(sim[ok])
+            offsets.append(offsets[-1][-1] + np.cumsum(ok.sum(axis=1)))
+        ask = ask if len(own) else ask[:0]
+        near = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
+        items = pa.StructArray.from_arrays([pa.array(-np.concatenate([*sims, np.zeros(0)])), pa.array(ids[near], pa.string()), pa.array(multiple[near].astype(bool))], ["s", "id", "m"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), items)
+        return pa.table({"id": pa.array(ids[ask], pa.string()), "m": pa.array(multiple[ask].astype(bool)), "near": lists})
+
+    found = base.unionByName(query).groupBy("cell", "block", "side").applyInArrow(search, f"id string, m boolean, near {NEAR}")
+    near = found.groupBy("id").agg(F.first("m").alias("m"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return _expand(near, rows.select("id", "g", "h"), coded.filter("m").select(F.col("id").alias("head"), "g", "h"), k)
+
+
+def _expand(near: DataFrame, rows: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """From neighbours between distinct vectors to neighbours between all keys; equal vectors come first.
+
+    Keys that share a vector are few in ordinary data: only they, and rows that have them as
+    neighbours, take part in the joins below. Of each such vector the first ``k + 1`` keys are enough.
+    """
+    shared = heads.join(rows.groupBy("id").agg(F.min(F.struct("g", "h")).alias("x")).select("id", "x.g", "x.h"), ["g", "h"]).select("head", "id")
+    ranked = shared.withColumn("no", F.row_number().over(Window.partitionBy("head").orderBy("id"))).filter(F.col("no") <= k + 1)
+    few = ranked.groupBy("head").agg(F.array_sort(F.collect_list("id")).alias("few"))
+    touched = F.exists("near", lambda x: x["m"])
+    near = written(near)
+    plain = near.filter(~F.col("m") & ~touched).select("id", "near")
+    other = near.filter(F.col("m") | touched)
+    each = other.select(F.col("id").alias("head"), F.explode("near").alias("x")).select("head", F.col("x.s").alias("s"), F.col("x.id").alias("to"))
+    far = (
+        each.join(few.select(F.col("head").alias("to"), "few"), "to", "left")
+        .select("head", "s", F.explode(F.coalesce("few", F.array("to"))).alias("id"))
         .groupBy("head")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("id")))), 1, k).alias("far"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "id"))), 1, k).alias("far"))
     )
-    lists = heads.join(spelled, "head", "left").select(
-        F.xxhash64("g", "h").alias("key"), F.concat(F.transform(F.when(F.col("n") > 1, F.col("few")).otherwise(F.array().cast("array<string>")), lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("id"))), F.coalesce("far", F.array().cast("array<struct<s:double,id:string>>"))).alias("all")
-    )
-    each = salted_join(members.select("id", F.xxhash64("g", "h").alias("key")), lists, "key")
-    own = each.select("id", F.slice(F.filter("all", lambda x: x["id"] != F.col("id")), 1, k).alias("all"))
-    return own.select("id", F.posexplode("all").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), F.least(F.lit(1.0), -F.col("x.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    none = F.array().cast("array<struct<s:double,id:string>>")
+    single = other.filter(~F.col("m")).select(F.col("id").alias("head")).join(far, "head").select(F.col("head").alias("id"), F.col("far").alias("all"))
+    lists = few.join(far, "head", "left").select("head", F.concat(F.transform("few", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("id"))), F.coalesce("far", none)).alias("all"))
+    copies = salted_join(shared, lists, "head").select("id", F.slice(F.filter("all", lambda x: x["id"] != F.col("id")), 1, k).alias("all"))
+    bare = plain.select("id", F.transform("near", lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))).alias("all"))
+    out = bare.unionByName(single).unionByName(copies).select("id", F.posexplode("all").alias("pos", "x"))
+    return out.select("id", F.col("x.id").alias("neighbour"), F.least(F.lit(1.0), -F.col("x.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def similar_pairs(near: DataFrame, least: float) -> DataFrame:
