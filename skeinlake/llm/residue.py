@@ -91,7 +91,7 @@ PLACEHOLDER = re.compile(
     r"|(?<![\w\\$])[$#]\{\s*[A-Za-z_][\w.]*\s*\}"
     r"|%%[A-Z][A-Z0-9_]*%%|@@[A-Z][A-Z0-9_]*@@|(?<![\w@])@\{[A-Za-z_][\w.]*\}"
     r"|\[(?:INSERT|ENTER|ADD|YOUR|PLACEHOLDER)\b[^\[\]\n]{0,60}\](?!\()|\[(?:[Yy]our|[Ii]nsert|[Ee]nter) [a-z][a-z ]{1,40}\](?![(\[])|\[\[(?:[A-Z_]+|[a-z]+_[a-z_]+)\]\]"
-    r"|(?<![\w\\$#%@{}\]^)])\{[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*\}(?![}{])"
+    r"|(?<![\w\\$#%@{}\]^)])\{[a-z][a-z0-9]{2,}(?:[_.][a-z0-9]+)*\}(?![}{])"
     r"|\b(?:TODO|FIXME|TBD|XXX):? (?:write|add|insert|fill|replace|put|describe|update|translate|complete)\b"
     r"|%(?:\([a-z_]+\)[sd])|\b__[A-Z]+_[A-Z_]+__\b|\*\|[A-Z_]+\|\*|\bundefined undefined\b|\[object Object\]|\bNaN%"
 )
