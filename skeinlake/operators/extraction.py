@@ -114,7 +114,7 @@ def coerce(value: Column, kind: str) -> Column:
     if kind == "integer":
         return F.when(digits.rlike(r"^-?\d{1,18}(?:\.0*)?$"), F.regexp_replace(digits, r"\.0*$", "").try_cast("long").cast("string"))
     if kind == "number":
-        return F.when(digits.rlike(r"^-?\d+(?:\.\d+)?$"), digits.try_cast("double").cast("string"))
+        return F.when(digits.rlike(r"^-?\d+(?:\.\d+)?$"), F.regexp_replace(digits.try_cast("double").cast("string"), r"\.0$", ""))
     if kind == "boolean":
         low = F.lower(raw)
         return F.when(low.isin("true", "yes", "1"), F.lit("true")).when(low.isin("false", "no", "0"), F.lit("false"))
