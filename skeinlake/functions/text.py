@@ -46,6 +46,15 @@ def index_tokens(text: Column) -> Column:
     return F.flatten(F.transform(kept, with_parts))
 
 
+def token_count(text: Column) -> Column:
+    """Number of ``index_tokens`` without building them; only compounds are taken apart. Nulls count 0."""
+    sign, inner = r"[\p{L}\p{N}]", r"[\p{L}\p{N}_.\-]*"
+    plain = F.regexp_count(text, F.lit(f"{inner}{sign}{inner}"))
+    compounds = F.regexp_extract_all(text, F.lit(rf"({sign}{inner}[_.\-]{inner}{sign})"), F.lit(1))
+    parts = F.aggregate(compounds, F.lit(0), lambda n, t: n + F.size(F.filter(F.split(t, r"[_.\-]"), lambda p: F.octet_length(p) > 1)))
+    return F.coalesce(plain + F.when(text.rlike(r"[_.\-]"), parts).otherwise(F.lit(0)), F.lit(0))
+
+
 def rank_tokens(text: Column) -> Column:
     """Tokens of a link's title or of a query: letters and digits, at least two bytes, no stop words."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*RANK_STOPWORDS))
@@ -80,20 +89,41 @@ def fold(text: Column) -> Column:
 def simhash(docs: DataFrame, key: str, text: str, bits: int = 60) -> DataFrame:
     """``key, fingerprint`` from words (weight 2) and adjacent word pairs (weight 1); similar texts differ in few bits.
 
-    Texts without words have fingerprint 0, nulls have no row. Each vote is a sum that Spark combines
-    before the shuffle, so one row per document is shuffled.
+    Texts without words have fingerprint 0, nulls have no row. A feature's hash is the first 60 bits of
+    its SHA-256. The votes of all features of an Arrow batch are summed as one matrix: in column
+    expressions 60 sums a feature outgrow what the JVM compiles.
     """
-    w = F.col("_w")
-    n = F.size(w)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)).alias("t"), F.lit(1).alias("w"))))
-    features = F.concat(F.transform(w, lambda t: F.struct(t.alias("t"), F.lit(2).alias("w"))), F.coalesce(pairs, F.array().cast("array<struct<t:string,w:int>>")))
-    x = docs.filter(F.col(text).isNotNull()).select(key, words(fold(F.col(text))).alias("_w")).select(key, F.explode_outer(features).alias("x"))
-    hashed = x.select(key, F.conv(F.substring(F.sha2("x.t", 256), 1, 15), 16, 10).cast("long").alias("h"), F.col("x.w").alias("w"))
-    votes = hashed.groupBy(key).agg(*[F.sum(F.when(F.col("h").bitwiseAND(1 << i) != 0, F.col("w")).otherwise(-F.col("w"))).alias(f"v{i}") for i in range(bits)])
-    fingerprint = F.lit(0).cast("long")
-    for i in range(bits):
-        fingerprint = fingerprint + F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return votes.select(key, fingerprint.alias("fingerprint"))
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    source = docs.filter(F.col(text).isNotNull()).select(key, words(fold(F.col(text))).alias("w"))
+    kind = dict(source.dtypes)[key]
+
+    def run(batches):
+        place = np.arange(bits, dtype=np.int64)
+        for b in batches:
+            for start in range(0, b.num_rows, 200):
+                part = b.slice(start, 200)
+                hashes, weights, ends, seen = [], [], [], {}
+                for ws in part.column(1).to_pylist():
+                    for feature, weight in (*((w, 2) for w in ws), *((f"{x} {y}", 1) for x, y in zip(ws, ws[1:]))):
+                        h = seen.get(feature)
+                        if h is None:
+                            h = seen[feature] = int(hashlib.sha256(feature.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+                        hashes.append(h)
+                        weights.append(weight)
+                    ends.append(len(hashes))
+                votes = np.zeros((len(ends) + 1, bits), dtype=np.int64)
+                doc = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+                h, w = np.array(hashes, dtype=np.int64), np.array(weights, dtype=np.int64)
+                for i in place:
+                    votes[:-1, i] = np.bincount(doc, weights=np.where(h >> i & 1, w, -w), minlength=len(ends)) if len(h) else 0
+                prints = ((votes[:-1] > 0).astype(np.int64) << place).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], names=[key, "fingerprint"])
+
+    return source.mapInArrow(run, f"{key} {kind}, fingerprint long")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -124,19 +154,32 @@ def snippet(text: Column, tokens: list[str]) -> Column:
 
 def link_score(query: list[str], title: Column, url_path: Column, description: Column) -> Column:
     """Relevance of a link to query tokens, .01 to .99: title, then path, then description, exact before partial."""
-    t, p, d = (F.coalesce(x, F.array().cast("array<string>")) for x in (rank_tokens(title), path_tokens(url_path), rank_tokens(description)))
     if not query:
         return F.lit(0.5)
-    total = F.lit(0.0)
-    for q in query:
-        partial = lambda xs, q=q: F.exists(xs, lambda x: F.contains(x, F.lit(q)) | F.contains(F.lit(q), x))
-        inside = lambda xs, q=q: F.exists(xs, lambda x: F.contains(x, F.lit(q)))
-        total = total + F.when(F.array_contains(t, q), 4.0).when(partial(t), 2.0).otherwise(0.0)
-        total = total + F.when(F.array_contains(p, q), 2.5).when(inside(p), 1.2).otherwise(0.0)
-        total = total + F.when(F.array_contains(d, q), 1.0).when(inside(d), 0.5).otherwise(0.0)
+    none = F.array().cast("array<string>")
+    facts = F.struct(F.coalesce(rank_tokens(title), none).alias("t"), F.coalesce(path_tokens(url_path), none).alias("p"), F.coalesce(rank_tokens(description), none).alias("d"))
+
+    def score(x):
+        total = F.lit(0.0)
+        for q in query:
+            w = F.lit(q)
+            total = total + F.when(F.array_contains(x["t"], w), 4.0).when(F.exists(x["t"], _either(q)), 2.0).otherwise(0.0)
+            total = total + F.when(F.array_contains(x["p"], w), 2.5).when(F.exists(x["p"], _holds(q)), 1.2).otherwise(0.0)
+            total = total + F.when(F.array_contains(x["d"], w), 1.0).when(F.exists(x["d"], _holds(q)), 0.5).otherwise(0.0)
+        return total
+
+    total = F.element_at(F.transform(F.array(facts), score), 1)
     return F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), total / (7.5 * len(query)))), 2)
 
 
+def _holds(q: str):
+    return lambda v: F.contains(v, F.lit(q))
+
+
+def _either(q: str):
+    return lambda v: F.contains(v, F.lit(q)) | F.contains(F.lit(q), v)
+
+
 def expand_query(query: str, most: int = 3) -> list[str]:
     """The query, and for more than three words its form without question words."""
     parts = query.split()

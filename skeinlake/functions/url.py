@@ -20,6 +20,11 @@ IGNORED_SCHEMES = "javascript mailto tel data sms callto fax magnet".split()
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#(.*?))?\s*$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _URL, group)
 
@@ -36,30 +41,52 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """Path with dot segments resolved; ``/`` where it is empty, null for malformed addresses."""
-    return F.when(host(url).isNotNull(), resolve_dots(_part(url, 4)))
+    return let(_parts(url), lambda p: F.when(_sound(p), _path(p)))
+
+
+def _parts(url: Column) -> Column:
+    """Scheme, host, port, path and query by one scan; one element where the address is malformed."""
+    return F.split(F.regexp_replace(url, _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", -1)
+
+
+def _sound(p: Column) -> Column:
+    return (F.size(p) == 5) & (F.element_at(p, 2) != "")
+
+
+def _path(p: Column) -> Column:
+    raw = F.element_at(p, 4)
+    return F.when(raw == "", F.lit("/")).when(F.contains(raw, F.lit("/.")) | F.contains(F.lower(raw), F.lit("/%2e")) | ~F.startswith(raw, F.lit("/")), resolve_dots(raw)).otherwise(raw)
+
+
+def _origin(p: Column) -> Column:
+    s, port = F.lower(F.element_at(p, 1)), F.element_at(p, 3)
+    default = (port == "") | (s == "http") & (port == "80") | (s == "https") & (port == "443")
+    return F.concat(s, F.lit("://"), F.lower(F.element_at(p, 2)), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
 
 
 def resolve_dots(p: Column) -> Column:
     """Resolves ``.`` and ``..`` segments and makes the path absolute."""
     segments = F.split(F.regexp_replace(p, "^/", ""), "/")
-    n = F.size(segments)
-    numbered = F.transform(segments, lambda s, i: F.struct(s.alias("s"), (i == n - 1).alias("last")))
     empty = F.array().cast("array<string>")
 
-    def step(acc, x):
-        up, here = F.lower(x["s"]).isin("..", "%2e%2e", ".%2e", "%2e."), F.lower(x["s"]).isin(".", "%2e")
-        cut = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        tail = F.when(x["last"], F.array(F.lit(""))).otherwise(empty)
-        return F.when(up, F.concat(cut, tail)).when(here, F.concat(acc, tail)).otherwise(F.concat(acc, F.array(x["s"])))
+    def walk(parts):
+        n = F.size(parts)
+        numbered = F.transform(parts, lambda s, i: F.struct(s.alias("s"), (i == n - 1).alias("last")))
 
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(numbered, empty, step), "/"))
+        def step(acc, x):
+            up, here = F.lower(x["s"]).isin("..", "%2e%2e", ".%2e", "%2e."), F.lower(x["s"]).isin(".", "%2e")
+            cut = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+            tail = F.when(x["last"], F.array(F.lit(""))).otherwise(empty)
+            return F.when(up, F.concat(cut, tail)).when(here, F.concat(acc, tail)).otherwise(F.concat(acc, F.array(x["s"])))
+
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(numbered, empty, step), "/"))
+
+    return let(segments, walk)
 
 
 def origin(url: Column) -> Column:
     """``scheme://host[:port]`` without default ports."""
-    s, port = scheme(url), _part(url, 3)
-    default = (port == "") | (s == "http") & (port == "80") | (s == "https") & (port == "443")
-    return F.concat(s, F.lit("://"), host(url), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
+    return let(_parts(url), lambda p: F.when(_sound(p), _origin(p)))
 
 
 def syntax_error(url: Column) -> Column:
@@ -95,18 +122,24 @@ def clean_query(query: Column, strip_tracking: bool = True) -> Column:
     keyed = F.transform(pairs, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), i.alias("i"), F.regexp_extract(p, "^[^=]*=?(.*)$", 1).alias("v")))
     if strip_tracking:
         keyed = F.filter(keyed, lambda x: ~F.lower(x["k"]).isin(*TRACKING_KEYS))
-    ordered = F.array_sort(keyed)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["k"] != x["k"], F.lit(True)))
-    return F.array_join(F.transform(last, lambda x: F.concat(F.replace(x["k"], F.lit("%20"), F.lit("+")), F.lit("="), F.replace(x["v"], F.lit("%20"), F.lit("+")))), "&")
+
+    def join(xs):
+        last = F.filter(xs, lambda x, i: F.coalesce(F.get(xs, i + 1)["k"] != x["k"], F.lit(True)))
+        return F.array_join(F.transform(last, lambda x: F.concat(F.replace(x["k"], F.lit("%20"), F.lit("+")), F.lit("="), F.replace(x["v"], F.lit("%20"), F.lit("+")))), "&")
+
+    return let(F.array_sort(keyed), join)
 
 
 def normalize(url: Column, ignore_query: bool = False, strip_tracking: bool = True) -> Column:
     """Crawl form of an address: no fragment or default port, resolved path, cleaned and sorted query. A trailing slash stays."""
-    base = F.concat(origin(url), path(url))
-    if ignore_query:
-        return base
-    q = clean_query(_part(url, 5), strip_tracking)
-    return F.concat(base, F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+
+    def build(p):
+        base, query = F.concat(_origin(p), _path(p)), F.element_at(p, 5)
+        if not ignore_query:
+            base = F.concat(base, F.when(query == "", F.lit("")).otherwise(let(clean_query(query, strip_tracking), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))))
+        return F.when(_sound(p), base)
+
+    return let(_parts(url), build)
 
 
 def extension(url: Column) -> Column:
@@ -157,16 +190,20 @@ def path_allowed(p: Column, includes: list[str] = (), excludes: list[str] = ())
 
 def blocked_host(h: Column) -> Column:
     """Hosts a crawler must not reach: local names, private, reserved and special IPv4 ranges, IPv6 literals of such ranges."""
-    t = F.lower(F.regexp_replace(h, r"^\s+|\s+$", ""))
-    octet = [F.try_to_number(F.regexp_extract(t, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i), F.lit("999")).cast("int") for i in range(1, 5)]
-    a, b, c, _ = octet
-    v4 = (
-        a.isin(0, 10, 127) | (a >= 224) | (a == 100) & b.between(64, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168)
-        | (a == 192) & (b == 0) & c.isin(0, 2) | (a == 198) & b.isin(18, 19) | (a == 198) & (b == 51) & (c == 100) | (a == 203) & (b == 0) & (c == 113)
-    )
-    v6 = t.rlike(r"^\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|::ffff:.*|64:ff9b:.*)\]$")
-    names = t.rlike(r"^(?:localhost|local|instance-data)$|\.(?:localhost|local|internal)$")
-    return F.coalesce(names | v6, F.lit(False)) | F.coalesce(v4, F.lit(False))
+
+    def v4(octets):
+        a, b, c = (F.element_at(octets, i).try_cast("int") for i in (1, 2, 3))
+        return (
+            a.isin(0, 10, 127) | (a >= 224) | (a == 100) & b.between(64, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168)
+            | (a == 192) & (b == 0) & c.isin(0, 2) | (a == 198) & b.isin(18, 19) | (a == 198) & (b == 51) & (c == 100) | (a == 203) & (b == 0) & (c == 113)
+        )
+
+    def test(t):
+        v6 = r"^\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|::ffff:.*|64:ff9b:.*)\]$"
+        names = r"^(?:localhost|local|instance-data)$|\.(?:localhost|local|internal)$"
+        return F.when(t.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), v4(F.split(t, r"\."))).when(F.startswith(t, F.lit("[")), t.rlike(v6)).otherwise(t.rlike(names))
+
+    return F.coalesce(let(F.lower(F.regexp_replace(h, r"^\s+|\s+$", "")), test), F.lit(False))
 
 
 def filter_reason(url: Column, depth: Column, seed: Column, max_depth: int = 3, subdomains: bool = False, includes: list[str] = (), excludes: list[str] = (), document_types: list[str] = ()) -> Column:

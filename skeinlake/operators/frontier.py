@@ -29,9 +29,9 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int =
     the visited set is cut to shared storage after each level, so that lineage does not grow. ``limit``
     stops before the level after which that many pages were fetched; the level itself stays whole.
     """
-    known = pages.select("url").distinct()
+    known = cut(pages.select("url").distinct())
     visited = cut(seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["url"]))
-    edges = links.select("url", "target").filter(F.col("target").isNotNull()).distinct()
+    edges = cut(links.select("url", "target").filter(F.col("target").isNotNull()).distinct())
     for depth in range(max_depth):
         level = visited.filter(F.col("depth") == depth).select("url").join(known, "url", "left_semi")
         found = level.join(edges, "url").groupBy(F.col("target").alias("url")).agg(F.min(F.col("url")).alias("parent"))

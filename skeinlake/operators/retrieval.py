@@ -61,14 +61,20 @@ def bm25(chunks: DataFrame, key: str, fields: dict[str, Column], query: str, can
     if not tokens:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     terms = sorted(set(tokens))
+    # every row is counted by regular expressions; token arrays are built only where a query term can stand
     weighted = {t: F.lit(0.0) for t in terms}
     dl = F.lit(0)
+    some = lambda c: F.lower(c).rlike("|".join(re.escape(t) for t in terms))
+    columns = []
     for f, c in fields.items():
-        dl = dl + F.coalesce(F.size(F.col(f"_{f}")), F.lit(0))
+        columns += [text.token_count(c).alias(f"_n_{f}"), F.when(some(c), text.index_tokens(c)).alias(f"_{f}")]
+        dl = dl + F.col(f"_n_{f}")
         for t in terms:
             weighted[t] = weighted[t] + F.lit(WEIGHTS[f]) * F.coalesce(F.size(F.filter(F.col(f"_{f}"), _is(t))), F.lit(0))
-    tokenised = chunks.select(key, *[text.index_tokens(c).alias(f"_{f}") for f, c in fields.items()], *[c.alias(f"_text_{f}") for f, c in fields.items()], *([candidates.alias("_ok")] if candidates is not None else []))
-    scored = tokenised.select(key, F.greatest(dl, F.lit(1)).cast("double").alias("dl"), *[weighted[t].alias(f"w{i}") for i, t in enumerate(terms)], F.coalesce(F.contains(F.lower(F.col("_text_body")), F.lit(query.lower())), F.lit(False)).alias("phrase"), *(["_ok"] if candidates is not None else []))
+    phrase = F.coalesce(F.contains(F.lower(fields["body"]), F.lit(query.lower())), F.lit(False)) if "body" in fields else F.lit(False)
+    extra = [candidates.alias("_ok")] if candidates is not None else []
+    tokenised = chunks.select(key, *columns, phrase.alias("phrase"), *extra)
+    scored = tokenised.select(key, F.greatest(dl, F.lit(1)).cast("double").alias("dl"), *[weighted[t].alias(f"w{i}") for i, t in enumerate(terms)], "phrase", *(["_ok"] if extra else []))
     stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = scored.filter(" OR ".join(f"w{i} > 0" for i in range(len(terms))))
     if candidates is not None:
