@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skeinlake.functions import text
+from skeinlake.operators.storage import cut
 
 K1, B = 1.2, 0.75
 #: Weight of a term by where it stands.
@@ -75,6 +76,9 @@ def bm25(chunks: DataFrame, key: str, fields: dict[str, Column], query: str, can
     extra = [candidates.alias("_ok")] if candidates is not None else []
     tokenised = chunks.select(key, *columns, phrase.alias("phrase"), *extra)
     scored = tokenised.select(key, F.greatest(dl, F.lit(1)).cast("double").alias("dl"), *[weighted[t].alias(f"w{i}") for i, t in enumerate(terms)], "phrase", *(["_ok"] if extra else []))
+    # one narrow row a chunk, written once: the statistics and the scores read it, and filters on the
+    # counts are not pushed below it, where they would build the token arrays again for every term
+    scored = cut(scored)
     stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = scored.filter(" OR ".join(f"w{i} > 0" for i in range(len(terms))))
     if candidates is not None:
