@@ -76,7 +76,7 @@ class Quantizer:
             books.append(c)
         self.books = np.stack(books)
         # refit all codebooks together by least squares on the codes that the beam search finds
-        codes = self._beam(r)
+        codes = np.concatenate([self._beam(r[s : s + 512]) for s in range(0, len(r), 512)])
         m, k, d = self.books.shape
         gram, target = np.zeros((m * k, m * k)), np.zeros((m * k, d))
         flat = codes.astype(np.int64) + np.arange(m) * k
