@@ -25,6 +25,8 @@ PRESERVED = frozenset(
         "ul ol li dl dt dd table thead tbody tfoot tr th td caption hr br"
     ).split()
 )
+#: A title that stands outside a head is dropped as well.
+DROPPED = STRIPPED | {"title"}
 KEPT_ATTRIBUTES = {"a": ("href", "title", "rel"), "img": ("src", "alt", "title", "width", "height"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"), "code": ("class",), "pre": ("class",)}
 _SCHEMES = re.compile(r"\s*(?:javascript|mailto|tel|data|sms|callto|fax|magnet):", re.I)
 
@@ -211,7 +213,7 @@ def clean_html(n: Node) -> str:
                 if t:
                     out.append(escape(t, quote=False))
             return
-        if x.tag in STRIPPED or len(x.raw) > 1 and _hidden(x):
+        if x.tag in DROPPED or len(x.raw) > 1 and _hidden(x):
             return
         keep = x.tag in PRESERVED
         if keep:
@@ -232,7 +234,7 @@ def markdown(n: Node) -> str:
     def inline(x) -> str:
         if x.__class__ is str:
             return re.sub(r"\s+", " ", x)
-        if x.tag in STRIPPED:
+        if x.tag in DROPPED:
             return ""
         t = x.tag
         if t == "br":
@@ -290,7 +292,7 @@ def markdown(n: Node) -> str:
             if c.__class__ is str or c.tag in ("a", "b", "strong", "i", "em", "u", "s", "del", "strike", "code", "span", "img", "br", "sub", "sup", "small", "mark", "kbd", "abbr", "time", "label", "font"):
                 line.append(inline(c))
                 continue
-            if c.tag in STRIPPED:
+            if c.tag in DROPPED:
                 continue
             flush()
             t = c.tag

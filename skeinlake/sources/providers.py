@@ -63,3 +63,22 @@ class MockSearch:
 
     def search(self, query: str, limit: int = 10) -> list[dict]:
         return self.canned.get(query, [{"url": "https://example.com/search", "title": query, "description": "", "score": 0.8}])[: max(1, min(limit, 100))]
+
+
+def batches(chunks: DataFrame, key: str, tokens: str, group: str, most: int = 32, budget: int = 20_000) -> DataFrame:
+    """``group, key, batch``: chunks of each group in key order, a new batch when the count or the tokens would exceed the bounds.
+
+    The running sum resets at each batch, which no window can say, so each group is folded in key order.
+    """
+    from pyspark.sql import functions as G
+
+    items = chunks.groupBy(group).agg(G.array_sort(G.collect_list(G.struct(G.col(key).alias("k"), G.col(tokens).cast("long").alias("t")))).alias("x"))
+    start = G.struct(G.lit(0).alias("b"), G.lit(0).alias("n"), G.lit(0).cast("long").alias("s"), G.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        full = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["s"] + x["t"] > budget))
+        b = G.when(full, acc["b"] + 1).otherwise(acc["b"])
+        return G.struct(b.alias("b"), G.when(full, G.lit(1)).otherwise(acc["n"] + 1).alias("n"), G.when(full, x["t"]).otherwise(acc["s"] + x["t"]).alias("s"), G.concat(acc["out"], G.array(b)).alias("out"))
+
+    numbered = items.select(group, "x", G.aggregate("x", start, step, lambda a: a["out"]).alias("b"))
+    return numbered.select(group, G.explode(G.arrays_zip("x", "b")).alias("z")).select(group, G.col("z.x.k").alias(key), G.col("z.b").alias("batch"))

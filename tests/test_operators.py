@@ -141,6 +141,23 @@ def test_embedding_cache(spark):
     assert providers.signature("s", 1, "p") == providers.signature("s", 1, "p") != providers.signature("s", 2, "p")
 
 
+def test_batches(spark):
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate([5, 5, 9, 20, 1, 1, 1])] + [("e", 0, 99)], "doc string, k int, t int")
+    got = {(r.doc, r.k): r.batch for r in providers.batches(df, "k", "t", "doc", most=3, budget=10).collect()}
+    assert [got["d", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 3] and got["e", 0] == 0
+
+
+def test_sql_functions(spark):
+    from skeinlake.functions import sql
+
+    assert "page_markdown" in sql.register(spark)
+    spark.createDataFrame([(1, "http://a.test/", "<title>T</title><h1>H</h1><p>x <a href=/y>l</a>"), (2, None, None)], "id int, url string, html string").createOrReplaceTempView("pages_for_sql")
+    rows = spark.sql("select id, page_title(html) t, page_markdown(html) m, document_type(url, null, html) d from pages_for_sql order by id").collect()
+    assert rows[0].t == "T" and rows[0].m.startswith("# H") and rows[1].t is None
+    assert [r.url for r in spark.sql("select l.url from pages_for_sql p, lateral page_link_rows(p.url, p.html) l").collect()] == ["http://a.test/y"]
+    assert spark.sql("select * from markdown_chunks('d', '# A\\n\\ntext')").collect()[0].heading_path == ["A"]
+
+
 def test_results_and_pages(spark, tmp_path):
     df = spark.createDataFrame([("j1", "k1", 1), ("j1", "k2", 2), ("j2", "k3", 3)], "job string, key string, v int")
     storage.save_results(df, str(tmp_path / "r"), ["job"])
