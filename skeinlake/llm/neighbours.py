@@ -32,7 +32,7 @@ SAMPLE = 16_384
 CELL = 512
 BOOKS, WORDS, BEAM = 8, 256, 4
 PROBES, MARGIN = 8, 0.12
-BLOCK, RERANK = 2048, 32
+BLOCK, RERANK = 2048, 96
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool = False) -> np.ndarray:
