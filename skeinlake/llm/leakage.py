@@ -1,17 +1,18 @@
 """Problem 9: evaluation texts leaking into training text.
 
-Method: rare n-gram seeds join documents to test items, then Smith-Waterman alignment scores each
+Method: n-gram seeds join documents to test items, then Smith-Waterman alignment scores each
 candidate pair, so that paraphrased or edited copies are found as well as whole ones. Seeds are runs
-of five words (all words of an item that has fewer). Their frequency is counted over the whole
-corpus; each window of ``RUN`` words of an item keeps its rarest seed, so every document that holds
-such a window is certain to meet a seed of it, however frequent the other seeds are.
+of five words (all words of an item that has fewer). Every seed of an item counts, however frequent
+it is: a choice by rarity would lose the edited copies that share other seeds only. The cost of frequent
+seeds is bounded by a test that loses nothing: a pair is aligned only if its exact run can be long
+enough, or the longest common subsequence, which no alignment exceeds, has the words wanted. A copy
+edited so closely that no five words in a row are left has no seed and is not found.
 
 The items are the stated query set: they are taken in blocks of at most ``BLOCK_WORDS`` words, which
 bounds what is broadcast; all documents are scanned for every block.
 
 Defined results: null, empty and wordless documents and items give no pair; words are runs of
-letters or digits, compared in lower case; repeated rows of a document or item count once; ties
-between seeds go to the earlier one.
+letters or digits, compared in lower case; repeated rows of a document or item count once.
 """
 from __future__ import annotations
 
@@ -65,39 +66,43 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Items:
-    """One block of test items with the n-grams that may become seeds, then the chosen seeds."""
+    """One block of test items with their seeds and the items that have each."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [r[0] for r in rows]
         self.words = [word_hashes(r[1]) for r in rows]
-        self.grams = [runs(w, min(SEED, len(w))) for w in self.words]
         self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
-        self.all = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-        self.seeds = self.owners = None
-        self._index = None
+        owners: dict[int, set[int]] = {}
+        for i, w in enumerate(self.words):
+            for x in runs(w, min(SEED, len(w))).tolist() if len(w) else ():
+                owners.setdefault(x, set()).add(i)
+        self.seeds = np.array(sorted(owners), dtype=np.uint64)
+        self.owners = [sorted(owners[int(x)]) for x in self.seeds]
+        self._index, self._bits = None, {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"} | {"_index": None}
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """The rarest seed of every window of RUN words; counts: occurrences in the corpus."""
-        chosen: dict[int, set[int]] = {}
-        for i, (w, g) in enumerate(zip(self.words, self.grams)):
-            if not len(g):
-                continue
-            freq = np.array([counts.get(int(x), 0) for x in g])
-            width = max(1, min(RUN, len(w)) - SEED + 1) if len(w) >= SEED else 1
-            for s in range(len(g) - width + 1):
-                chosen.setdefault(int(g[s + int(freq[s : s + width].argmin())]), set()).add(i)
-        self.seeds = np.array(sorted(chosen), dtype=np.uint64)
-        self.owners = [sorted(chosen[int(x)]) for x in self.seeds]
-        self.all = self.grams = None
+        return self.__dict__ | {"_index": None, "_bits": {}}
 
     def index(self) -> HashIndex:
         if self._index is None:
-            self._index = HashIndex(self.all if self.seeds is None else self.seeds)
+            self._index = HashIndex(self.seeds)
         return self._index
 
+    def common(self, i: int, doc: np.ndarray) -> int:
+        """Length of the longest common subsequence of an item and some words, bit-parallel over the item."""
+        bits = self._bits.get(i)
+        if bits is None:
+            bits = self._bits[i] = {}
+            for j, w in enumerate(self.words[i].tolist()):
+                bits[w] = bits.get(w, 0) | 1 << j
+        n = len(self.words[i])
+        full = free = (1 << n) - 1
+        for w in doc.tolist():
+            if w in bits:
+                u = free & bits[w]
+                free = ((free + u) | (free - u)) & full
+        return n - free.bit_count()
+
 
 def _scan(texts: list, items: Items):
     """Words of all texts in a row, the bounds of each, and (position, seed number) of every seed found."""
@@ -152,6 +157,11 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, best_matched, longest
 
 
+def _has_run(at: list[int], k: int) -> bool:
+    """Whether sorted positions hold k in a row."""
+    return any(at[i + k - 1] - at[i] == k - 1 for i in range(len(at) - k + 1))
+
+
 def _blocks(items: DataFrame):
     """The distinct items in blocks of bounded size."""
     block, words = [], 0
@@ -180,16 +190,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
     out = None
     for block in _blocks(items):
-        grams = spark.sparkContext.broadcast(block)
-
-        def count(b, grams=grams):
-            _, _, _, hits = _scan(b.column(0).to_pylist(), grams.value)
-            seed, n = np.unique(hits[:, 1], return_counts=True)
-            return {"gram": grams.value.all[seed].astype(np.int64), "n": n} if len(seed) else None
-
-        # at most one row per n-gram of the block
-        counts = map_arrow(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        block.choose({r["gram"] % (1 << 64): r["n"] for r in counts.collect()})
         seeds = spark.sparkContext.broadcast(block)
 
         def pairs(b, seeds=seeds):
@@ -205,16 +205,21 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 item = it.words[i]
                 n = len(item)
                 at.sort()
-                best = (0, 0, 0)
-                longest = 0
+                parts = []
                 k = 0
                 while k < len(at):  # one alignment for each cluster of seeds
                     j = k
                     while j + 1 < len(at) and at[j + 1] - at[j] <= 2 * n:
                         j += 1
-                    a = align(words[max(start[doc], at[k] - n - 5) : min(end[doc], at[j] + n + 5)], item)
-                    best, longest = max(best, a), max(longest, a[2])
+                    parts.append(words[max(start[doc], at[k] - n - 5) : min(end[doc], at[j] + n + 5)])
                     k = j + 1
+                if not _has_run(at, RUN - SEED + 1) and all(it.common(i, p) < IDENTITY * n for p in parts):
+                    continue  # neither a run of RUN words nor enough words in order; shorter items with all words pass
+                best = (0, 0, 0)
+                longest = 0
+                for p in parts:
+                    a = align(p, item)
+                    best, longest = max(best, a), max(longest, a[2])
                 if longest >= min(RUN, n) or best[1] >= IDENTITY * n and best[1] >= SEED:
                     for c, v in zip(rows, (ids[doc], it.ids[i], best[0], best[1], n, longest)):
                         rows[c].append(v)

@@ -194,6 +194,45 @@ def test_alignment_finds_edited_copies():
     assert leakage.align(item[:0], item) == (0, 0, 0)
 
 
+def test_leaks_of_edited_copies(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(rng.choice([20, 45, 90])))) for i in range(40)]
+    items += [(40 + i, items[i][1]) for i in range(3)]  # seeds of several items
+    docs, want = [], set()
+    for i, text in items[:40]:
+        w = text.split()
+        for step in (5, 6, 8, 10):
+            changed, added = list(w), []
+            for j in range(step, len(w), step + 1):  # the word after every `step` words
+                changed[j] = f"x{rng.random()}"
+            for j, x in enumerate(w):
+                added += [x, "more"] if j % step == step - 1 else [x]
+            for copy in (changed, added, w[: len(w) // 2] + ["x"] + w[len(w) // 2 + 1 :]):
+                want.add((len(docs), i))
+                docs.append((len(docs), "before it " + " ".join(copy) + " after it"))
+    want |= {(d, 40 + i) for d, i in want if i < 3}
+    whole = [(10_000 + i, t) for i, t in items]  # makes the seeds across an edit the rarest
+    stray = [(20_000 + i, " ".join(t.split()[:7]) + " and other words") for i, t in items if len(t.split()) > 20]
+    D, I = spark.createDataFrame(docs + whole + stray, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(D, I).collect()}
+    assert {x for x in got if x[0] < 10_000} == want and not any(d >= 20_000 for d, _ in got)
+
+
+def test_common_words_bound_the_alignment():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(1, 90))] for _ in range(2))
+        items = leakage.Items([(0, " ".join(a))])
+        doc = leakage.word_hashes(" ".join(b))
+        table = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(table[-1][j] + 1 if x == y else max(row[j], table[-1][j + 1]))
+            table.append(row)
+        assert items.common(0, doc) == table[-1][-1] >= leakage.align(doc, items.words[0])[1]
+
+
 # ---- 10
 SAMPLES = {
     "en": "The queue keeps the order in which pages were found because most hosts allow only a few requests and the log says so.",
