@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.html.layout import render
-from skeinlake.html.tree import Node, parse_html
+from skeinlake.html.tree import HEADINGS, Node, parse_html
 from skeinlake.llm.common import map_arrow, salted_join, written
 
 MIN_IMPORTANCE = 0.3
@@ -230,21 +230,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def branches(html: str | None) -> list[tuple[int, int, int, str]]:
-    """The styled branches of a page: path, presentation and content hash, and the text outside code samples.
+def _plain(tree: Node) -> bool:
+    """Whether a source has no page structure."""
+    return not any(n.tag in ("html", "body", "head") for n in tree.nodes[:12])
 
-    Elements of one path form one branch; inline elements belong to the branch they stand in. A
-    source without page structure is one branch of path 0.
-    """
-    tree = parse_html(html)
+
+def _paths(tree: Node) -> tuple[list[str | None], dict[str, list[str]], list[bool]]:
+    """The path of each element by its order (the root's last), the kinds of children of each path, and what is code."""
     nodes = tree.nodes
-    if not any(n.tag in ("html", "body", "head") for n in nodes[:12]):
-        text = html or ""
-        return [(0, 0, _signed(xxhash.xxh3_64_intdigest(text)), text)] if text.strip() else []
     n = len(nodes)
     path: list = [None] * (n + 1)
     path[-1] = "/"
-    texts: dict[str, list[str]] = {}
     kinds: dict[str, list[str]] = {}
     code = [False] * (n + 1)
     for i, x in enumerate(nodes):
@@ -265,6 +261,21 @@ def branches(html: str | None) -> list[tuple[int, int, int, str]]:
             code[i] = tag == "pre"
         if code[x.parent.order]:
             code[i] = True
+    return path, kinds, code
+
+
+def branches(html: str | None) -> list[tuple[int, int, int, str]]:
+    """The styled branches of a page: path, presentation and content hash, and the text outside code samples.
+
+    Elements of one path form one branch; inline elements belong to the branch they stand in. A
+    source without page structure is one branch of path 0.
+    """
+    tree = parse_html(html)
+    if _plain(tree):
+        text = html or ""
+        return [(0, 0, _signed(xxhash.xxh3_64_intdigest(text)), text)] if text.strip() else []
+    path, kinds, code = _paths(tree)
+    texts: dict[str, list[str]] = {}
     # text in document order, by path
     todo: list = [tree]
     while todo:
@@ -292,17 +303,53 @@ def branches(html: str | None) -> list[tuple[int, int, int, str]]:
     return out
 
 
-BRANCH = "fetch_id long, host string, path long, presentation long, content long, kinds array<string>, text string"
+_MARKED = re.compile(r"\x03(\d+)\x04+")
 
 
-def page_branches(fetched: DataFrame, text: bool = False) -> DataFrame:
-    """One row per page and branch with the markup found in it and, if wanted, its clean text."""
+def clean_page(html: str | None, dropped=frozenset()) -> str:
+    """Clean text of a page in document order, without the text of the dropped branches; code samples stay as they are."""
+    tree = parse_html(html)
+    if _plain(tree):
+        return clean_text(html)
+    path, _, code = _paths(tree)
+    gone = {p for p in set(path) if p is not None and _signed(xxhash.xxh3_64_intdigest(p)) in dropped} if dropped else ()
+    kept: list[str] = []
+    filled = [False] * (len(tree.nodes) + 1)
+    for x in [*reversed(tree.nodes), tree]:  # elements after those below them
+        if path[x.order] in gone:
+            x.children = [c for c in x.children if c.__class__ is Node]
+        if code[x.order] and not code[x.parent.order]:
+            block = x.tag == "pre"
+            text = render(x).strip("\n") if block else " ".join(render(x).split())
+            x.children = []
+            if text:
+                if block or x.tag == "code":
+                    mark = "```" if block else "`"
+                    while mark in text:
+                        mark += "`"
+                    text = f"{mark}\n{text}\n{mark}" if block else f"{mark}{text}{mark}"
+                x.children = [f"\x03{len(kept)}\x04".ljust(0 if block else len(text), "\x04")]
+                kept.append(text)
+            x.tag = "p" if block else "span"
+        filled[x.order] = filled[x.order] or any(c.__class__ is str and c.strip() for c in x.children)
+        if filled[x.order] and x is not tree and path[x.order] is not None:
+            filled[x.parent.order] = True
+    empty = {x.order for x in tree.nodes if not filled[x.order] and (x.tag == "li" or x.tag in HEADINGS)}
+    text = clean_text(render(tree, empty, headings=True))
+    return _MARKED.sub(lambda m: kept[int(m.group(1))], text) if kept else text
+
+
+BRANCH = "fetch_id long, host string, path long, presentation long, content long, kinds array<string>"
+
+
+def page_branches(fetched: DataFrame, search: bool = True) -> DataFrame:
+    """One row per page and branch with the markup found in it, if wanted."""
 
     def rows(b):
         out = {k.split()[0]: [] for k in BRANCH.split(", ")}
         for f, host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             for path, shape, content, t in branches(h):
-                for k, v in zip(out, (f, host, path, shape, content, markup_kinds(t, html=False), clean_text(t) if text else None)):
+                for k, v in zip(out, (f, host, path, shape, content, markup_kinds(t, html=False) if search else None)):
                     out[k].append(v)
         return out
 
@@ -340,10 +387,19 @@ def page_markup(fetched: DataFrame) -> DataFrame:
 
 
 def clean_pages(fetched: DataFrame) -> DataFrame:
-    """``fetch_id, text``: the clean text of the important branches of each page, in path order of first sight."""
-    rows = written(page_branches(fetched, text=True))
-    kept = _kept(rows, rows.select("fetch_id", "host", "path", "content", "text"))
-    return kept.dropDuplicates(["fetch_id", "path"]).groupBy("fetch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    """``fetch_id, text``: the clean text of the important branches of each page in document order, one row per fetch."""
+    rows = written(page_branches(fetched, search=False).drop("kinds"))
+    key = F.xxhash64("host", "path")
+    low = style_tree(rows).filter((F.col("importance") < MIN_IMPORTANCE) & F.col("host").isNotNull()).select(key.alias("branch")).distinct()
+    found = rows.filter("path <> 0 AND host IS NOT NULL").select("fetch_id", "path", key.alias("branch"))
+    dropped = salted_join(found, low, "branch").groupBy("fetch_id").agg(F.collect_set("path").alias("dropped"))
+    pages = fetched.select("fetch_id", "html", F.lit(None).cast("array<long>").alias("dropped")).unionByName(dropped.withColumn("html", F.lit(None).cast("string")))
+    pages = pages.groupBy("fetch_id").agg(F.min("html").alias("html"), F.flatten(F.collect_list("dropped")).alias("dropped"))
+
+    def texts(b):
+        return {"fetch_id": b.column(0), "text": [clean_page(h, frozenset(d or ())) for h, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]}
+
+    return map_arrow(pages, texts, "fetch_id long, text string")
 
 
 def document_markup(indexed: DataFrame) -> DataFrame:

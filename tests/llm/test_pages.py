@@ -104,6 +104,16 @@ def test_page_markup_by_style_tree(spark):
     assert "Text 3 b here" in texts[3] and "all pages" not in texts[3]
 
 
+def test_clean_pages_keep_order_marks_and_code(spark):
+    page = lambda i: (
+        f"<html><body><nav><ul><li><a href=/>Start</a></li><li>Docs</li></ul></nav><div><h1>First {i}</h1><p>Say {i} <code>a_{i} **b**</code> and **bold {i}**.</p><ul><li>one {i}<li>two {i}</ul>"
+        f"<h2>Second {i}</h2><p>Then {i}</p><pre>if x:\n\n\n    [[y|z]] = {i}</pre><p>End {i} [[A|b]]</p></div></body></html>"
+    )
+    texts = {r.fetch_id: r.text for r in markup.clean_pages(frame(spark, [(i, "h", page(i)) for i in range(6)] + [(9, "h", None)])).collect()}
+    assert texts[2] == "# First 2\n\nSay 2 `a_2 **b**` and bold 2.\n\n- one 2\n- two 2\n\n## Second 2\n\nThen 2\n\n```\nif x:\n\n\n    [[y|z]] = 2\n```\n\nEnd 2 b"
+    assert len(texts) == 7 and texts[9] == ""
+
+
 def test_document_markup(spark):
     df = spark.createDataFrame([("a", "x **b c** d", 1), ("a", "x **b c** d", 1), ("b", None, 2), ("c", "", 3), (None, "== H ==", 4)], "document_id string, text string, markup int")
     assert sorted((r.document_id or "", r.markup) for r in markup.document_markup(df).collect()) == [("", "wiki"), ("a", "markdown")]
