@@ -365,6 +365,8 @@ def _entropy(rows: DataFrame, by: str) -> DataFrame:
 
 def style_tree(rows: DataFrame) -> DataFrame:
     """``host, path, pages, importance`` of every branch of the merged pages of each host."""
+    once = rows.groupBy("fetch_id", "path").agg(F.min(F.struct("host", "presentation", "content")).alias("x"))  # repeated rows of a fetch
+    rows = once.select("fetch_id", "path", "x.*")
     a, b = _entropy(rows, "presentation"), _entropy(rows, "content").drop("pages")
     return a.join(b, ["host", "path"]).select("host", "path", "pages", (PRESENTATION * F.col("h_presentation") + (1 - PRESENTATION) * F.col("h_content")).alias("importance"))
 

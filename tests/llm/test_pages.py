@@ -114,6 +114,15 @@ def test_clean_pages_keep_order_marks_and_code(spark):
     assert len(texts) == 7 and texts[9] == ""
 
 
+def test_repeated_fetches_count_once(spark):
+    page = "<html><body><div class='own'><p>Only **here** is this.</p></div></body></html>"
+    df = frame(spark, [(1, "h", page), (1, "h", page), (2, "h", "<html><body><p>Other</p></body></html>"), (3, "s", "## Source"), (3, "s", "## Source")])
+    tree = markup.style_tree(markup.page_branches(df)).collect()
+    assert all(r.pages == 1 and r.importance == 1 for r in tree)
+    assert sorted((r.fetch_id, r.markup) for r in markup.page_markup(df).collect()) == [(1, "markdown"), (3, "markdown")]
+    assert {r.fetch_id: r.text for r in markup.clean_pages(df).collect()} == {1: "Only here is this.", 2: "Other", 3: "## Source"}
+
+
 def test_document_markup(spark):
     df = spark.createDataFrame([("a", "x **b c** d", 1), ("a", "x **b c** d", 1), ("b", None, 2), ("c", "", 3), (None, "== H ==", 4)], "document_id string, text string, markup int")
     assert sorted((r.document_id or "", r.markup) for r in markup.document_markup(df).collect()) == [("", "wiki"), ("a", "markdown")]
