@@ -95,6 +95,8 @@ PLACEHOLDER = re.compile(
     r"|\b(?:TODO|FIXME|TBD|XXX):? (?:write|add|insert|fill|replace|put|describe|update|translate|complete)\b"
     r"|%(?:\([a-z_]+\)[sd])|\b__[A-Z]+_[A-Z_]+__\b|\*\|[A-Z_]+\|\*|\bundefined undefined\b|\[object Object\]|\bNaN%"
 )
+#: What every form of PLACEHOLDER holds at least one of.
+_SIGN = re.compile(r"[{%\[]|<\?|@@|__|\|\*|undefined|TODO|FIXME|TBD|XXX")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+|[\u4e00-\u9fff]")
@@ -160,9 +162,8 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
 
 def residue_kind(page: Page) -> tuple[str, float]:
     """``placeholder``, ``error``, ``script``, ``filler`` or "", with the marked share of the own words."""
-    if "{" in page.title or "%" in page.title or "[" in page.title or "TODO" in page.title or "@@" in page.title:
-        if PLACEHOLDER.search(page.title):
-            return "placeholder", 1.0
+    if _SIGN.search(page.title) and PLACEHOLDER.search(page.title):
+        return "placeholder", 1.0
     own, notice, listed = [], [], 0
     for s in page.segments:
         t = s.text
@@ -175,9 +176,8 @@ def residue_kind(page: Page) -> tuple[str, float]:
             if not s.junk:
                 own.append((s, "\x04"))
             continue
-        if "{" in t or "%" in t or "[" in t or "TODO" in t or "@@" in t or "__" in t or "|*" in t or "undefined" in t:
-            if PLACEHOLDER.search(without_code(t)):
-                return "placeholder", 1.0
+        if _SIGN.search(t) and PLACEHOLDER.search(without_code(t)):
+            return "placeholder", 1.0
         if not s.junk:
             if s.links >= 0.8 * len(t):
                 listed += 1

@@ -49,6 +49,13 @@ def test_residue_kinds(html, kind):
     assert residue.residue_kind(read_page(html))[0] == kind
 
 
+@pytest.mark.parametrize("form", ["<?= $title ?>", "FIXME: add text", "TBD: write this", "XXX: fill in", "TODO: describe it", "__PAGE_TITLE__", "*|FNAME|*", "undefined undefined", "@@NAME@@", "%%CTA%%", "NaN%"])
+def test_every_placeholder_form(form):
+    shown = form.replace("<", "&lt;")
+    assert residue.residue_kind(read_page(ARTICLE.replace("It took", f"{shown} It took")))[0] == "placeholder"
+    assert residue.residue_kind(read_page(ARTICLE.replace("<title>The", f"<title>{shown} The")))[0] == "placeholder"
+
+
 def test_residue_operator(spark):
     df = frame(spark, [(1, "a", ERROR), (1, "a", ERROR), (2, "a", ARTICLE), (3, None, None), (None, "a", ERROR)])
     assert sorted((r.fetch_id is None, r.fetch_id) for r in residue.residue(df).collect()) == [(False, 1), (True, None)]
