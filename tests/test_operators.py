@@ -179,3 +179,8 @@ def test_streams(spark, tmp_path):
     q = streams.event_counts(streams.read(spark, str(tmp_path / "in"), schema), "ts", "kind").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.events for r in spark.sql("select * from windows").collect()) == 20
+
+
+def test_json_candidates_walk_whole_arrays():
+    found = extraction.json_candidates({"a": [{"x": i} for i in range(60)] + [{"late": 1}]})
+    assert sum(k == "x" for k, _, _ in found) == 60 and any(k == "late" for k, _, _ in found)
