@@ -143,10 +143,9 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
         new[dead] = 0
         via[dead] = 0
         # gaps along the item: prefix maximum of the score plus its distance, matches carried along
-        key = (new + step).astype(np.int64) * 4096 + np.minimum(via, 4095)
-        key = np.maximum.accumulate(key)
-        score = (key >> 12).astype(np.int32) - step
-        matched = (key & 4095).astype(np.int32)
+        key = np.maximum.accumulate((new + step).astype(np.int64) << 32 | via)
+        score = (key >> 32).astype(np.int32) - step
+        matched = key.astype(np.int32)
         np.maximum(score, 0, out=score)
         run[1:] = np.where(same, run[:-1] + 1, 0)
         j = int(score.argmax())

@@ -12,17 +12,16 @@ so; repeated rows of one fetch give one row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow
 from skeinlake.llm.pages import Page, read_page, visible, without_code
+from skeinlake.llm.stuffing import FUNCTION_WORDS
 
 #: Share of the own words in marked sentences from which a page is residue.
 COVERAGE = 0.5
-#: Words that a marked sentence counts at most: wording inside endless lists marks little.
-LONGEST = 25
-
 # fixed values: wording that marks the sentence it stands in (lower case, digits as 0)
 TRIGGERS = {
     "error": """
@@ -49,7 +48,7 @@ TRIGGERS = {
         enable javascript|turn on javascript|activate javascript|allow javascript|enable scripts|turn on scripts|activate scripts|allow scripts|enable js|turn on js|activate js|allow js|enable cookies
         javascript is required|scripts is required|js is required|requires javascript|javascript is switched off|scripts is switched off|js is switched off|javascript is disabled|without javascript|without scripts|without js|doesn't work properly without|works better with javascript
         checking your browser|checking your visit|checking that you are|checking the security|verifying your|verifying that you are|verifying the security|validating your|validating that you are|validating the security|testing your browser|testing your visit|testing that you are|testing the security
-        please stand by|please wait while|just a moment|loading…|loading...|loading 0%|this takes up to|if nothing happens|you are not a robot|you are human|are a human|complete the captcha|tick the box|ray 0|ticket 0|redirecting|browser is not supported
+        please stand by|please wait while|just a moment|loading…|loading...|loading 0%|this takes up to|if nothing happens|you are not a robot|you are human|are a human|complete the captcha|tick the box|redirecting|browser is not supported
         javascript aktivieren|aktivieren sie javascript|muss javascript erlaubt|javascript erlauben|skripte erlauben|benötigt javascript|ohne javascript|browser wird geprüft|besuch wird geprüft|bitte warten|wird geladen|einen moment|kein roboter
         activer javascript|activer les scripts|autoriser javascript|besoin de javascript|nécessite javascript|sans javascript|vérification de votre|veuillez patienter|chargement|un instant|pas un robot
         activar javascript|habilitar javascript|habilite javascript|active javascript|requiere javascript|necesita javascript|sin javascript|espere por favor|por favor espere|comprobando|cargando|no es un robot
@@ -75,14 +74,19 @@ WHOLE = frozenset(
     """.replace("\n", "|").split("|")
     if x.strip()
 )
-# fixed values: words of blind text in Latin style
+# fixed values: words of the public blind text "Lorem ipsum" and of the passage of Cicero (de finibus 1.10.32) it comes from
 LATIN = frozenset(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud
     exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur
-    sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae tellus ligula urna quorum semper tenebra porta vestis magnis
-    nunca pretium altera rerum fabula mora orae corpus cordis minima arcum velis novis latum sedum vel nec ac at a eget nunc mauris massa felis purus turpis viverra
-    pellentesque vestibulum curabitur praesent suspendisse vivamus maecenas aenean donec fusce nam morbi integer cras proin quam leo risus nibh metus odio diam""".split()
+    sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
+    perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto
+    beatae vitae dicta explicabo nemo quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt neque porro quisquam dolorem adipisci
+    numquam eius modi tempora quaerat minima nostrum exercitationem corporis suscipit laboriosam aliquid commodi autem vel eum iure quam nihil molestiae illum quo""".split()
 )
+#: Endings of Latin words that are rare in the words of the nine languages, and the share of such words from which a
+#: sentence without any of their function words is blind text.
+LATIN_ENDING = re.compile(r"[a-z]*(?:us|um|is|it|ae|am|em|nt|ur|or|que|a)\Z")
+LATIN_SHARE, LATIN_WORDS = 0.7, 4
 # fixed values: forms of unfilled placeholders
 PLACEHOLDER = re.compile(
     r"\{\{[{#/^&]?\s*[\w.\-\[\]]+(?:\s*\|\s*[\w:\"' ,.()]+)?\s*\}?\}\}"  # {{ name }}, {{name|filter}}
@@ -97,13 +101,15 @@ PLACEHOLDER = re.compile(
 )
 #: What every form of PLACEHOLDER holds at least one of.
 _SIGN = re.compile(r"[{%\[]|<\?|@@|__|\|\*|undefined|TODO|FIXME|TBD|XXX")
-_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+#: Ends of sentences, and the signs between the entries of a list in one line.
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+|\s+[|·•]\s+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+|[\u4e00-\u9fff]")
 _END = re.compile(r"[\s.!?…:。！？]+\Z")
 #: Title parts of a browser check; they count only where a page has no own text.
 _CUT = re.compile(r"\s+[-–—|·]\s+")
 _automaton = None
+_LONGEST_WHOLE = max(map(len, WHOLE)) + 8
 
 
 def automaton():
@@ -127,36 +133,60 @@ def fold(text: str) -> str:
     return _DIGITS.sub("0", text.lower().replace("’", "'").replace("‘", "'").replace("ｓ", "s"))
 
 
+_NUMBER_ONLY = re.compile(r"[(#\[]?\s*(?:[\w.]+\s*:\s*0|0|[0a-f]{4,}|(?:reference|error id|ray|ticket|code|id)\s*#?\s*[0-9a-f]+)\s*[)\]]?\.?")
+_MODERN = FUNCTION_WORDS - LATIN - frozenset("a per de si se ac at".split())
+
+
+def is_blind_text(words: list[str]) -> bool:
+    """Whether a sentence is Latin-like filler: by the words of the public blind text or, without words of living languages, by their endings."""
+    n = len(words)
+    if n < 3:
+        return False
+    known = sum(w in LATIN for w in words)
+    if known >= LATIN_SHARE * n:
+        return True
+    if n < LATIN_WORDS or not _MODERN.isdisjoint(words):
+        return False
+    return known + sum(w not in LATIN and LATIN_ENDING.match(w) is not None for w in words) >= LATIN_SHARE * n
+
+
 def coverage(text: str) -> tuple[float, dict[str, int]]:
-    """Share of the words of a text that stand in marked sentences, and the marked words by kind."""
+    """Share of the words of a text that stand in marked sentences, and the marked words by kind.
+
+    The automaton runs once over the whole text; sentences are looked at only where the hits, whole
+    headings and Latin-like words together can mark enough of it.
+    """
+    folded = fold(text)
+    spans, at = [], 0
+    for m in _SENTENCE.finditer(folded):
+        spans.append((at, m.start()))
+        at = m.end()
+    spans.append((at, len(folded)))
+    starts = [a for a, _ in spans]
+    kind: dict[int, str] = {}
+    for end, (size, k) in automaton().iter(folded):
+        if end < size or not folded[end - size].isalpha() or folded[end] > "\u2e80":
+            kind.setdefault(bisect_right(starts, end - size + 1) - 1, k)
     total = marked = 0
     kinds: dict[str, int] = {}
-    a = automaton()
-    for s in _SENTENCE.split(text):
+    for i, (a, b) in enumerate(spans):
+        s = folded[a:b]
         words = _WORDS.findall(s)
         n = len(words) or (1 if s.strip() else 0)
         if not n:
             continue
         total += n
-        f = fold(s)
-        kind = ""
-        if _END.sub("", f).strip() in WHOLE:
-            kind = "error"
-        else:
-            for end, (size, k) in a.iter(f):
-                if end < size or not f[end - size].isalpha() or f[end] > "\u2e80":
-                    kind = k
-                    break
-            if not kind and n >= 3:
-                latin = sum(w.lower() in LATIN for w in words)
-                if latin >= 0.7 * n:
-                    kind = "filler"
-            if not kind and n <= 3 and re.fullmatch(r"[(#\[]?\s*(?:[\w.]+\s*:\s*0|0|[0a-f]{4,}|(?:reference|error id|ray|ticket|code|id)\s*#?\s*[0-9a-f]+)\s*[)\]]?\.?", f.strip()):
+        k = kind.get(i, "")
+        if b - a <= _LONGEST_WHOLE and _END.sub("", s).strip() in WHOLE:
+            k = "error"
+        elif not k:
+            if is_blind_text(words):
+                k = "filler"
+            elif len(s.split()) <= 3 and _NUMBER_ONLY.fullmatch(s.strip()):
                 total -= n  # a bare reference number says nothing either way
-        if kind:
-            n = min(n, LONGEST)
+        if k:
             marked += n
-            kinds[kind] = kinds.get(kind, 0) + n
+            kinds[k] = kinds.get(k, 0) + n
     return (marked / total if total else 0.0), kinds
 
 

@@ -141,3 +141,12 @@ def test_long_and_broken_pages():
     assert main_blocks(read_page(deep)) == [1]
     assert read_page("<p a='>x" * 500).segments is not None
     assert read_page("<html><body><p>" + "word " * 200_000).blocks[0][1]
+
+
+def test_residue_sentences_of_any_length():
+    long = "We could not " + "open the page that you asked for and " * 8 + "so you see this."
+    assert residue.residue_kind(read_page(f"<html><body><p>{long}</p></body></html>"))[0] == "error" and len(long.split()) > 50
+    filler = "Vitae tellus rerum magnis ligula corpus urna dolorum. Novis latum orae porta cordis pretium semper vestis."
+    assert residue.residue_kind(read_page(f"<html><body><h1>Heading</h1><p>{filler}</p></body></html>"))[0] == "filler"
+    for text in ("La ventana de la casa es blanca y la puerta no.", "Gratis gartenhaus billigkredit armbanduhr server miete.", "Il museo apre alle nove e chiude la sera."):
+        assert residue.residue_kind(read_page(f"<html><body><p>{text}</p></body></html>"))[0] == ""
