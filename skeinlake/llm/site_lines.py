@@ -1,20 +1,27 @@
 """Problem 2: lines repeated across one site's documents.
 
-Method: content-defined chunking with a rolling hash over the letters of the text. A chunk ends where
-the hash of the last ``WINDOW`` letters has ``CUT_BITS`` zero bits, so equal passages give equal
-chunks wherever they stand. Distinct documents are counted per chunk and site; a chunk in at least
-``MIN_DOCUMENTS`` documents of its site is excessive, and lines that consist of such chunks alone are
-checked exactly by their letters and cut. Chunking starts anew at each line, because the cases are
-lines: two lines with the same letters have the same chunks, and no case can straddle a chunk.
-
-Defined results: rows without ``source_url`` and null texts give no case; lines without letters never
-count; a fence opens with a line that starts with three backticks and runs to the next such line, or
-to the end of the text where there is none; a document counts once per site however often it repeats
-a line; repeated rows of one chunk give the same cases once.
+Method: content-defined chunking with a rolling hash. The letters of a whole text are one stream, line
+breaks aside; a chunk ends where the hash of the last ``WINDOW`` letters has ``CUT_BITS`` zero bits, so
+equal passages give equal chunks wherever they stand and however they are broken into lines. Distinct
+documents are counted per chunk and site; a chunk in at least ``MIN_DOCUMENTS`` documents of its site is
+excessive. Excessive chunks are mapped back to lines: a line all of whose own chunks are excessive is
+cut, once an exact check has counted the documents that have its very letters.
+
+A line's own chunks are those that begin at least ``WINDOW`` letters into it and end in it at a cut: no
+letter outside the line decides them, so the same line has the same own chunks in every text and none
+is lost. Lines too short for a chunk of their own go to the exact check directly; chunks that straddle
+lines lie in no line and are not counted. The exact check compares 128-bit digests of the letters.
+
+Defined results: rows without ``source_url`` and null texts give no case; lines without letters
+(category L of Unicode) never count; a fence opens with a line that starts with three backticks and runs
+to the next such line, or to the end of the text where there is none; a document counts once per site
+however often it repeats a line, and rows with a null document count as one document; repeated rows of
+one chunk give the same cases once; extra columns are never read.
 """
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import xxhash
@@ -22,16 +29,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow, salted_join, written
 
-WINDOW, CUT_BITS = 16, 6
+WINDOW, CUT_BITS = 8, 4
 MIN_DOCUMENTS = 4
 #: Rows whose letters are hashed in one go.
 ROWS = 400
 _NOT_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
+_numerals = None
 _HOST = re.compile(r"(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", re.I)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def _without_numerals(text: str) -> str:
+    """Drops the numerals that count as word characters but are neither digits nor letters, such as ``½`` and ``①``."""
+    global _numerals
+    if _numerals is None:
+        _numerals = dict.fromkeys(i for i in range(0xB2, sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isalpha())
+    return text.translate(_numerals)
+
+
 def site_of(url: str | None) -> str | None:
     """Host in lower case without a leading ``www.``; null for nulls and addresses without a host."""
     if url is None:
@@ -45,7 +61,8 @@ def site_of(url: str | None) -> str | None:
 
 def line_letters(text: str) -> list[str]:
     """The letters of each line in lower case; empty for lines in and around fences."""
-    lines = _NOT_LETTERS.sub("", text.lower()).split("\n")
+    letters = _NOT_LETTERS.sub("", text.lower())
+    lines = (letters if letters.isascii() else _without_numerals(letters)).split("\n")
     if "```" in text:
         fenced = False
         for i, raw in enumerate(text.split("\n")):
@@ -57,8 +74,12 @@ def line_letters(text: str) -> list[str]:
     return lines
 
 
-def chunk_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every line, hash of every content-defined chunk, and the number of chunks of each line."""
+def own_chunks(lines: list[str], texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chunks that lie in one line by its own letters, and how many each line has.
+
+    ``texts`` numbers the text of each line, in ascending order; the lines of one text are one stream
+    of letters, and its rolling hash runs across line breaks.
+    """
     size = np.array([len(x) for x in lines], dtype=np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(points)
@@ -74,26 +95,25 @@ def chunk_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shifted[width:] = roll[:-width] if n > width else 0
             roll = roll + shifted * np.uint32(pow(0x01000193, width, 1 << 32))
             width *= 2
-        start = np.cumsum(size) - size
-        inside = np.arange(n) - np.repeat(start, size)
-        cut = ((roll * np.uint32(0x9E3779B1)) >> np.uint32(32 - CUT_BITS) == 0) & (inside >= WINDOW - 1)
-        ends = start + size
-        cut[ends - 1] = True
-        stop = np.flatnonzero(cut) + 1
-        begin = np.concatenate([[0], stop[:-1]])
+        begin_of_line = np.cumsum(size) - size
+        first = np.flatnonzero(np.diff(texts, prepend=texts[:1] - 1)) if len(texts) else np.zeros(0, np.int64)
+        begin_of_text = np.repeat(begin_of_line[first], np.diff(np.append(begin_of_line[first], n)))
+        at = np.arange(n)
+        stop = np.flatnonzero(((roll * np.uint32(0x9E3779B1)) >> np.uint32(32 - CUT_BITS) == 0) & (at - begin_of_text >= WINDOW - 1)) + 1
+        line = np.repeat(np.arange(len(lines)), size)
+        begin, end = stop[:-1], stop[1:]
+        owner = line[end - 1]
+        own = begin >= begin_of_line[owner] + WINDOW  # the cut before it and the chunk itself stand in the line that holds its end
+        begin, end, owner = begin[own], end[own], owner[own]
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _P)]))
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:n], dtype=np.uint64)])
         inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _P_INVERSE)]))
-
-        def digest(a, b):
-            h = (prefix[b] - prefix[a]) * inverse[a]
-            h ^= (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            return h ^ (h >> np.uint64(29))
-
-        chunks, keys = digest(begin, stop), digest(start, ends)
-    return keys.view(np.int64), chunks.view(np.int64), np.diff(np.searchsorted(stop, np.concatenate([[0], ends]), side="right"))
+        h = (prefix[end] - prefix[begin]) * inverse[begin]
+        h ^= (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64), np.bincount(owner, minlength=len(lines))
 
 
 def _hash(*parts: str) -> int:
@@ -101,54 +121,70 @@ def _hash(*parts: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-LINES = "chunk_id string, line_no int, site long, document long, line long, pieces array<long>"
+LINES = "chunk_id string, line_no int, document long, line long, line2 long, pieces array<long>"
 
 
 def site_chunks(vectors: DataFrame) -> DataFrame:
-    """One row per line with letters outside fences: where it stands, its hash and those of its chunks (mixed with the site)."""
+    """One row per line with letters outside fences: its place, document, digest, and own chunks; digest and chunks are mixed with the site."""
 
     def rows(b):
         out = {k.split()[0]: [] for k in LINES.split(", ")}
         columns = [c.to_pylist() for c in b.columns]
         for first in range(0, b.num_rows, ROWS):
-            letters, counts = [], []
-            for chunk, doc, url, text in zip(*[c[first : first + ROWS] for c in columns]):
+            letters, texts, sites, digests = [], [], [], []
+            for no, (chunk, doc, url, text) in enumerate(zip(*[c[first : first + ROWS] for c in columns])):
                 site = site_of(url) if text else None
                 if site is None:
                     continue
-                s, d = _hash(site), _hash(doc or "", "d")
-                for no, x in enumerate(line_letters(text), 1):
+                s, d, salt = _hash(site), _hash(doc or "", "d"), site + "\n"
+                for line_no, x in enumerate(line_letters(text), 1):
                     if x:
                         letters.append(x)
-                        counts.append((chunk, no, s, d))
+                        texts.append(no)
+                        sites.append(s)
+                        digests.append(xxhash.xxh3_128_digest((salt + x).encode("utf-8", "surrogatepass")))
+                        out["chunk_id"].append(chunk)
+                        out["line_no"].append(line_no)
+                        out["document"].append(d)
             if not letters:
                 continue
-            keys, chunks, n = chunk_hashes(letters)
-            sites = np.array([c[2] for c in counts], dtype=np.int64)
+            chunks, n = own_chunks(letters, np.array(texts, dtype=np.int64))
             with np.errstate(over="ignore"):
-                chunks = (chunks ^ np.repeat(sites, n)) * np.int64(-7046029254386353131)
-                keys = (keys ^ sites) * np.int64(-7046029254386353131)
-            at = np.concatenate([[0], np.cumsum(n)]).tolist()
+                chunks = (chunks ^ np.repeat(np.array(sites, dtype=np.int64), n)) * np.int64(-7046029254386353131)
+            ends = np.cumsum(n).tolist()
             chunks = chunks.tolist()
-            for (chunk, no, s, d), k, a, e in zip(counts, keys.tolist(), at, at[1:]):
-                for c, v in zip(out, (chunk, no, s, d, k, chunks[a:e])):
-                    out[c].append(v)
+            out["pieces"] += [list(set(chunks[a:e])) for a, e in zip([0, *ends], ends)]
+            keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            out["line"] += keys[:, 0].tolist()
+            out["line2"] += keys[:, 1].tolist()
         return out
 
     return map_arrow(vectors.select("chunk_id", "document_id", "source_url", "text").filter(F.col("source_url").isNotNull() & F.col("text").isNotNull()), rows, LINES)
 
 
+def excessive_chunks(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``piece`` of the chunks that stand in at least ``min_documents`` documents of their site, from rows of ``site_chunks``."""
+    # the chunk hashes carry the site, so a chunk of a hot site is as spread as any other
+    pieces = lines.select(F.explode("pieces").alias("piece"), "document").distinct()
+    return pieces.groupBy("piece").count().filter(F.col("count") >= min_documents).select("piece")
+
+
 def repeated_lines(vectors: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``chunk_id, line_no`` of the lines that stand in at least ``min_documents`` documents of their site."""
     lines = written(site_chunks(vectors))
-    uid = F.xxhash64("chunk_id", "line_no")
-    pieces = lines.select(F.explode("pieces").alias("piece"), "document").distinct()
-    excessive = pieces.groupBy("piece").count().filter(F.col("count") >= min_documents).select("piece")
-    # the chunk hashes carry the site, so a chunk of a hot site is as spread as any other
-    parts = lines.select(F.explode(F.array_distinct("pieces")).alias("piece"), uid.alias("uid"), "line", "document", F.size(F.array_distinct("pieces")).alias("n"))
-    covered = salted_join(parts, excessive, "piece").groupBy("uid", "line", "document", "n").agg(F.count_distinct("piece").alias("m")).filter("m = n").select("uid", "line", "document")
-    exact = covered.select("line", "document").distinct().groupBy("line").count().filter(F.col("count") >= min_documents).select("line")
-    return salted_join(lines.select("chunk_id", "line_no", "line"), exact, "line").select("chunk_id", "line_no").distinct()
+    return lines_of_chunks(lines, excessive_chunks(lines, min_documents), min_documents)
+
+
+def lines_of_chunks(lines: DataFrame, excessive: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``chunk_id, line_no``: the lines that consist of excessive chunks, or hold none of their own, checked exactly."""
+    key = ["line", "line2"]
+    # equal lines have equal chunks: each distinct line of a document is looked up once
+    once = lines.select(*key, "document", "pieces").dropDuplicates([*key, "document"])
+    short = once.filter(F.size("pieces") == 0).select(*key, "document")
+    parts = once.select(*key, "document", F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
+    cut = salted_join(parts, excessive, "piece").groupBy(*key, "document", "n").count().filter("count = n").select(*key, "document")
+    exact = cut.unionByName(short).groupBy(*key).count().filter(F.col("count") >= min_documents).select(F.struct(*key).alias("key"))
+    return salted_join(lines.select("chunk_id", "line_no", F.struct(*key).alias("key")), exact, "key").select("chunk_id", "line_no").distinct()
 
 
 def without_repeated_lines(vectors: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

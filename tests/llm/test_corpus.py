@@ -53,11 +53,27 @@ def test_repeated_lines(spark):
     assert site_lines.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_chunks_do_not_depend_on_neighbours():
-    a, b = "thequickbrownfox" * 20, "jumpsoverthelazydog" * 15
-    k1, c1, n1 = site_lines.chunk_hashes([a, b])
-    k2, c2, n2 = site_lines.chunk_hashes([b, "x", a])
-    assert k1[0] == k2[2] and k1[1] == k2[0] and list(c1[: n1[0]]) == list(c2[n2[0] + n2[1] :]) and len(set(k2)) == 3
+def test_chunks_cross_lines_and_do_not_depend_on_neighbours():
+    rng = random.Random(3)
+    a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (320, 285))
+    c1, n1 = site_lines.own_chunks([a, b], np.array([0, 0]))
+    c2, n2 = site_lines.own_chunks([b, "x", a], np.array([0, 0, 1]))
+    assert n1[0] and list(c1[: n1[0]]) == list(c2[n2[0] + n2[1] :]) and list(c1[n1[0] :]) == list(c2[: n2[0]]) and n2[1] == 0
+    # the same letters broken into lines elsewhere keep all chunks but those near the breaks
+    c3, n3 = site_lines.own_chunks([a[:100], a[100:]], np.array([0, 0]))
+    assert 0 < len(c3) < n1[0] and set(c3) <= set(c1)
+
+
+def test_chunks_decide_lines(spark):
+    line = "This notice is repeated in very many documents of the site and is long enough to hold several chunks of its own"
+    df = spark.createDataFrame([(f"c{i}", f"d{i}", "http://a.test/", f"{line}\nshort {'abcdef'[i]}\nok ½", None, None) for i in range(6)], VECTORS)
+    lines = site_lines.written(site_lines.site_chunks(df))
+    assert lines.filter("line_no = 1 and size(pieces) > 1").count() == 6
+    found = lambda e: {(r.chunk_id, r.line_no) for r in site_lines.lines_of_chunks(lines, e).collect()}
+    chunks = site_lines.excessive_chunks(lines)
+    assert found(chunks) == {(f"c{i}", n) for i in range(6) for n in (1, 3)}
+    assert found(chunks.limit(0)) == {(f"c{i}", 3) for i in range(6)}  # without the chunks only lines too short for one are left
+    assert site_lines.line_letters("²½①") == [""]
 
 
 @pytest.mark.parametrize("url, site", [(None, None), ("", None), ("HTTP://WWW.A.Test:8080/x", "a.test"), ("https://u:p@b.test?q", "b.test"), ("c.test/x", "c.test"), ("//d.test", "d.test")])
