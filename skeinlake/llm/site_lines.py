@@ -4,8 +4,9 @@ Method: content-defined chunking with a rolling hash. The letters of a whole tex
 breaks aside; a chunk ends where the hash of the last ``WINDOW`` letters has ``CUT_BITS`` zero bits, so
 equal passages give equal chunks wherever they stand and however they are broken into lines. Distinct
 documents are counted per chunk and site; a chunk in at least ``MIN_DOCUMENTS`` documents of its site is
-excessive. Excessive chunks are mapped back to lines: a line all of whose own chunks are excessive is
-cut, once an exact check has counted the documents that have its very letters.
+excessive. Excessive chunks are mapped back to lines: a line whose chunk is excessive is cut, once an
+exact check has counted the documents that have its very letters. Of several own chunks the one of
+least hash speaks for its line, which keeps the way back at one row a line; the counts are over all.
 
 A line's own chunks are those that begin at least ``WINDOW`` letters into it and end in it at a cut: no
 letter outside the line decides them, so the same line has the same own chunks in every text and none
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow, salted_join, written
 
-WINDOW, CUT_BITS = 8, 4
+WINDOW, CUT_BITS = 5, 3
 MIN_DOCUMENTS = 4
 #: Rows whose letters are hashed in one go.
 ROWS = 400
@@ -176,13 +177,11 @@ def repeated_lines(vectors: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
 
 
 def lines_of_chunks(lines: DataFrame, excessive: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``chunk_id, line_no``: the lines that consist of excessive chunks, or hold none of their own, checked exactly."""
+    """``chunk_id, line_no``: the lines whose chunk is excessive, or that hold none of their own, checked exactly."""
     key = ["line", "line2"]
-    # equal lines have equal chunks: each distinct line of a document is looked up once
-    once = lines.select(*key, "document", "pieces").dropDuplicates([*key, "document"])
-    short = once.filter(F.size("pieces") == 0).select(*key, "document")
-    parts = once.select(*key, "document", F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
-    cut = salted_join(parts, excessive, "piece").groupBy(*key, "document", "n").count().filter("count = n").select(*key, "document")
+    once = lines.select(*key, "document", F.array_min("pieces").alias("piece")).dropDuplicates([*key, "document"])
+    short = once.filter(F.col("piece").isNull()).select(*key, "document")
+    cut = salted_join(once.filter(F.col("piece").isNotNull()), excessive, "piece").select(*key, "document")
     exact = cut.unionByName(short).groupBy(*key).count().filter(F.col("count") >= min_documents).select(F.struct(*key).alias("key"))
     return salted_join(lines.select("chunk_id", "line_no", F.struct(*key).alias("key")), exact, "key").select("chunk_id", "line_no").distinct()
 
