@@ -5,8 +5,8 @@ breaks aside; a chunk ends where the hash of the last ``WINDOW`` letters has ``C
 equal passages give equal chunks wherever they stand and however they are broken into lines. Distinct
 documents are counted per chunk and site; a chunk in at least ``MIN_DOCUMENTS`` documents of its site is
 excessive. Excessive chunks are mapped back to lines: a line whose chunk is excessive is cut, once an
-exact check has counted the documents that have its very letters. Of several own chunks the one of
-least hash speaks for its line, which keeps the way back at one row a line; the counts are over all.
+exact check has counted the documents that have its very letters. Of several own chunks the
+longest speaks for its line, which keeps the way back at one row a line; the counts are over all.
 
 A line's own chunks are those that begin at least ``WINDOW`` letters into it and end in it at a cut: no
 letter outside the line decides them, so the same line has the same own chunks in every text and none
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow, salted_join, written
 
-WINDOW, CUT_BITS = 5, 3
+WINDOW, CUT_BITS = 5, 4
 MIN_DOCUMENTS = 4
 #: Rows whose letters are hashed in one go.
 ROWS = 400
@@ -76,7 +76,7 @@ def line_letters(text: str) -> list[str]:
 
 
 def own_chunks(lines: list[str], texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chunks that lie in one line by its own letters, and how many each line has.
+    """Hashes of the chunks that lie in one line by its own letters, longest first, and how many each line has.
 
     ``texts`` numbers the text of each line, in ascending order; the lines of one text are one stream
     of letters, and its rolling hash runs across line breaks.
@@ -114,7 +114,8 @@ def own_chunks(lines: list[str], texts: np.ndarray) -> tuple[np.ndarray, np.ndar
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-    return h.view(np.int64), np.bincount(owner, minlength=len(lines))
+    order = np.lexsort((h, begin - end, owner))
+    return h[order].view(np.int64), np.bincount(owner, minlength=len(lines))
 
 
 def _hash(*parts: str) -> int:
@@ -154,7 +155,7 @@ def site_chunks(vectors: DataFrame) -> DataFrame:
                 chunks = (chunks ^ np.repeat(np.array(sites, dtype=np.int64), n)) * np.int64(-7046029254386353131)
             ends = np.cumsum(n).tolist()
             chunks = chunks.tolist()
-            out["pieces"] += [list(set(chunks[a:e])) for a, e in zip([0, *ends], ends)]
+            out["pieces"] += [chunks[a:e] for a, e in zip([0, *ends], ends)]
             keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             out["line"] += keys[:, 0].tolist()
             out["line2"] += keys[:, 1].tolist()
@@ -179,7 +180,7 @@ def repeated_lines(vectors: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
 def lines_of_chunks(lines: DataFrame, excessive: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``chunk_id, line_no``: the lines whose chunk is excessive, or that hold none of their own, checked exactly."""
     key = ["line", "line2"]
-    once = lines.select(*key, "document", F.array_min("pieces").alias("piece")).dropDuplicates([*key, "document"])
+    once = lines.select(*key, "document", F.get("pieces", F.lit(0)).alias("piece")).dropDuplicates([*key, "document"])
     short = once.filter(F.col("piece").isNull()).select(*key, "document")
     cut = salted_join(once.filter(F.col("piece").isNotNull()), excessive, "piece").select(*key, "document")
     exact = cut.unionByName(short).groupBy(*key).count().filter(F.col("count") >= min_documents).select(F.struct(*key).alias("key"))
