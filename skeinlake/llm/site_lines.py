@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow, salted_join, written
 
-WINDOW, CUT_BITS = 5, 4
+#: Letters that decide a cut, a power of two, and zero bits of a cut.
+WINDOW, CUT_BITS = 4, 4
 MIN_DOCUMENTS = 4
 #: Rows whose letters are hashed in one go.
 ROWS = 400
