@@ -13,7 +13,11 @@ PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table article
 LINE = frozenset("div li dt dd tr address center form details summary figcaption caption body html option legend menu dir".split())
 
 
-def _table(node: Node, skip) -> str:
+# fixed values: elements that are numbered as blocks of a page
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd".split())
+
+
+def _table(node: Node, skip, shown) -> str:
     rows: list[list[str]] = []
     todo = [node]
     while todo:
@@ -22,7 +26,7 @@ def _table(node: Node, skip) -> str:
             if c.__class__ is Node and c.order not in skip and c.tag in ("thead", "tbody", "tfoot", "tr"):
                 todo.append(c)
         if n.tag == "tr":
-            rows.append([" ".join(render(c, skip).split()) for c in n.children if c.__class__ is Node and c.tag in ("td", "th") and c.order not in skip])
+            rows.append([" ".join(render(c, skip, shown=shown).split()) for c in n.children if c.__class__ is Node and c.tag in ("td", "th") and c.order not in skip])
     width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
     return "\n".join("  ".join(x.ljust(width[i]) for i, x in enumerate(r)).rstrip() for r in rows)
 
@@ -38,9 +42,13 @@ def is_data_table(node: Node) -> bool:
     return cells >= 2
 
 
-def render(root: Node, skip=frozenset(), headings: bool = False) -> str:
-    """Visible text below a node; ``skip`` holds orders of elements to leave out, ``headings`` marks them with ``#``."""
+def render(root: Node, skip=frozenset(), headings: bool = False, shown: set | None = None) -> str:
+    """Visible text below a node; ``skip`` holds orders of elements to leave out, ``headings`` marks them with ``#``.
+
+    The orders of the ``BLOCKS`` elements of which some text is laid out are added to ``shown``.
+    """
     out: list[str] = []
+    texts = 0
     lists: list[list] = []
 
     def gap(n: int):
@@ -62,9 +70,12 @@ def render(root: Node, skip=frozenset(), headings: bool = False) -> str:
         if x.__class__ is str:
             if pre:
                 out.append(x)
+                if not x.isspace():
+                    texts += 1
             else:
                 t = " ".join(x.split())
                 if t:
+                    texts += 1
                     if out and x[0].isspace() and not out[-1].endswith(("\n", " ")):
                         out.append(" ")
                     out.append(t)
@@ -75,6 +86,8 @@ def render(root: Node, skip=frozenset(), headings: bool = False) -> str:
             continue
         if x.__class__ is tuple:
             tag = x[0]
+            if shown is not None and tag in BLOCKS and texts > x[2]:
+                shown.add(x[1])
             if tag == "pre":
                 pre -= 1
                 gap(1)
@@ -94,7 +107,9 @@ def render(root: Node, skip=frozenset(), headings: bool = False) -> str:
             continue
         if tag == "table" and is_data_table(x):
             gap(2)
-            out.append(_table(x, skip))
+            t = _table(x, skip, shown)
+            texts += bool(t)
+            out.append(t)
             gap(2)
             continue
         if tag in PARAGRAPH:
@@ -118,7 +133,7 @@ def render(root: Node, skip=frozenset(), headings: bool = False) -> str:
             out.append("`")
         elif headings and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             out.append("#" * int(tag[1]) + " ")
-        todo.append((tag,))
+        todo.append((tag, x.order, texts))
         todo.extend(reversed(x.children))
     text = "".join(out)
     return "\n".join(line.rstrip() for line in text.split("\n")).strip("\n")
