@@ -1,11 +1,43 @@
-"""A numpy hash index from 64-bit keys to their positions."""
+"""Hashes of words and runs of words, and a numpy hash index from 64-bit keys to their positions."""
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Words(dict):
+    """Hashes of words by word, emptied once it holds a million."""
+
+    def __missing__(self, w):
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1
+        return h
+
+
+_words = _Words()
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    """Hash of each word, in order."""
+    return np.array([_words[w] for w in words], dtype=np.uint64)
+
+
+def word_runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k word hashes."""
+    n = len(words) - k + 1
+    if n <= 0 or not k:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, np.uint64(k))
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            h = (h ^ words[i : i + n]) * _MIX
+            h ^= h >> np.uint64(29)
+    return h
+
+
 class HashIndex:
     """Positions of distinct keys, found by open addressing; about 3 slots a key."""
 

@@ -19,11 +19,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from skeinlake.llm.common import map_arrow
-from skeinlake.llm.hashing import HashIndex
+from skeinlake.llm.hashing import HashIndex, hash_words, word_runs as runs
 
 SEED, RUN = 5, 12
 BLOCK_WORDS = 2_000_000
@@ -31,38 +30,11 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 #: Aligned pairs with at least this share of the item's words matched are reported even without an exact run.
 IDENTITY = 0.6
 _WORDS = re.compile(r"[^\W_]+")
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, w):
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w) | 1
-        return h
-
-
-_words = _Words()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hash of each word of a text, in order."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    return np.array([_words[w] for w in _WORDS.findall(text.lower())], dtype=np.uint64)
-
-
-def runs(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.full(n, np.uint64(k))
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            h = (h ^ words[i : i + n]) * _P
-            h ^= h >> np.uint64(29)
-    return h
+    return hash_words(_WORDS.findall(text.lower())) if text else np.zeros(0, dtype=np.uint64)
 
 
 class Items:

@@ -1,58 +1,54 @@
 """Problem 7: page boilerplate mixed with the main content.
 
 Method: layout-aware rendering. The tree builder closes implied tags, visibility rules drop hidden
-parts, furniture of the page (menus, notices, side columns, promotions, comments, footers, share
-and letter prompts, bylines) is recognised by element, role, class, shape and wording, and the rest
-is rendered with block spacing, bullets and aligned table cells.
+parts, and the rest is laid out as text with block spacing, bullets and aligned table cells. Furniture
+of the page (menus, notices, side columns, promotions, comments, footers, share and letter prompts,
+bylines), recognised by element, role, class, shape and wording, is left out of the layout; the blocks
+of the main body are those of which the layout shows text. One layout gives the text and the blocks.
 
 Defined results: null, empty and non-HTML sources have no blocks and give no row; blocks without
-text are no blocks of the body; repeated rows of one fetch give the same blocks once.
+text are no blocks of the body; repeated rows of one fetch give the same blocks once; pages of problems
+1 and 3 have no main body; extra columns are never read.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skeinlake.html.layout import render
+from skeinlake.llm import pages
 from skeinlake.llm.common import map_arrow, written
-from skeinlake.llm.pages import main_blocks, read_page
 from skeinlake.llm.residue import residue_kind
 from skeinlake.llm.stuffing import FACTS, evidence, stuffed_pages
 
 
-def main_body(fetched: DataFrame) -> DataFrame:
-    """``fetch_id, text, blocks``: the rendered main body of every page and the numbers of its blocks."""
+def laid_out(fetched: DataFrame, text: bool) -> DataFrame:
+    """Rows of ``stuffing.page_facts`` with ``blocks`` and, if wanted, ``text`` of every main body that is no residue."""
 
     def rows(b):
-        out = {"fetch_id": [], "text": [], "blocks": []}
-        for f, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            page = read_page(h)
-            blocks = main_blocks(page)
+        out = {k.split()[0]: [] for k in FACTS.split(", ")} | {"blocks": []} | ({"text": []} if text else {})
+        for f, host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            page = pages.read_page(h)
+            if not page.blocks or residue_kind(page)[0]:
+                continue
+            body, blocks = pages.main_body(page)
             if blocks:
-                out["fetch_id"].append(f)
-                out["text"].append(render(page.tree, page.junk))
-                out["blocks"].append(blocks)
+                for k, v in zip(out, (f, host, *evidence(page), blocks, body)):
+                    out[k].append(v)
         return out
 
-    return map_arrow(fetched.select("fetch_id", "html"), rows, "fetch_id long, text string, blocks array<int>").dropDuplicates(["fetch_id"])
+    return map_arrow(fetched.select("fetch_id", "host", "html"), rows, f"{FACTS}, blocks array<int>" + (", text string" if text else ""))
 
 
-def content_blocks(fetched: DataFrame) -> DataFrame:
-    """``fetch_id, block_no`` of the main body of pages that are neither residue nor keyword-stuffed.
+def _kept(fetched: DataFrame, summaries: DataFrame | None, text: bool) -> DataFrame:
+    facts = written(laid_out(fetched, text))
+    stuffed = stuffed_pages(facts, summaries).select("fetch_id")
+    return facts.select("fetch_id", "blocks", *["text"] * text).join(stuffed, "fetch_id", "left_anti")
 
-    Each page is parsed once: the same pass gives its blocks, its residue kind and the list evidence
-    that the keyword-stuffing operator needs.
-    """
 
-    def rows(b):
-        out = {k.split()[0]: [] for k in FACTS.split(", ")} | {"blocks": []}
-        for f, host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            page = read_page(h)
-            blocks = main_blocks(page)
-            if blocks and not residue_kind(page)[0]:
-                for k, v in zip(out, (f, host, *evidence(page), blocks)):
-                    out[k].append(v)
-        return out
+def main_body(fetched: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """``fetch_id, text, blocks``: the rendered main body of every page that has one, and the numbers of its blocks."""
+    return _kept(fetched, summaries, True).groupBy("fetch_id").agg(F.min(F.struct("text", "blocks")).alias("x")).select("fetch_id", "x.*")
+
 
-    facts = written(map_arrow(fetched.select("fetch_id", "host", "html"), rows, f"{FACTS}, blocks array<int>"))
-    kept = facts.select("fetch_id", "blocks").join(stuffed_pages(facts).select("fetch_id"), "fetch_id", "left_anti")
-    return kept.select("fetch_id", F.explode("blocks").alias("block_no")).distinct()
+def content_blocks(fetched: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """``fetch_id, block_no`` of the main body of pages that are neither residue nor keyword-stuffed."""
+    return _kept(fetched, summaries, False).select("fetch_id", F.explode("blocks").alias("block_no")).distinct()

@@ -76,12 +76,13 @@ _WIKI = re.compile(
     r"|<ref\b[^<>]*>|\{\{[A-Za-z][^{}|\n]*\|[^{}]*\}\}|~~~~",
     re.M | re.I,
 )
+#: Formulas may be of any length but hold no blank line; inline ones end on their line.
 _LATEX = re.compile(
     r"\\(?:" + "|".join(LATEX_COMMANDS) + r")\b\*?[ \t]*(?:\[[^\]\n]*\][ \t]*)?\{"
     r"|^[ \t]*\\(?:item|maketitle|tableofcontents|hline|noindent|centering|appendix)\b"
-    r"|\\\[[^\n]*?[^\n\\]\s*\\\]|\\\[\s[\s\S]{1,400}?\s\\\]|\\\((?=\s*\S)[^\n]*?\\\)"
-    r"|\$\$(?!\$)[^$]{1,600}?\$\$"
-    r"|(?<![\\$\w])\$(?![\s{$(])[^$\n]{0,200}?(?:\\[a-zA-Z]+|[\^_][{\w]|[=<>+])[^$\n]{0,200}?(?<![\s\\])\$(?![\d$])",
+    r"|\\\[[^\n]*?[^\n\\]\s*\\\]|\\\[\s(?:(?!\n[ \t]*\n)(?!\\[\[\]])[\s\S])+?\s\\\]|\\\((?=\s*\S)[^\n]*?\\\)"
+    r"|\$\$(?!\$)(?:[^$\n]|\n(?![ \t]*\n))+\$\$"
+    r"|(?<![\\$\w])\$(?![\s{$(])[^$\n]*?(?:\\[a-zA-Z]+|[\^_][{\w]|[=<>+])[^$\n]*(?<![\s\\])\$(?![\d$])",
     re.M,
 )
 _MATH_SIGN = re.compile(r"\\[a-zA-Z]+|\^|_|[=<>+]")
@@ -231,8 +232,21 @@ def _signed(x: int) -> int:
 
 
 def _plain(tree: Node) -> bool:
-    """Whether a source has no page structure."""
-    return not any(n.tag in ("html", "body", "head") for n in tree.nodes[:12])
+    """Whether a source has no page structure: no ``html``, ``head`` or ``body``, or text or code samples before the first of them."""
+    first = next((n for n in tree.nodes if n.tag in ("html", "body", "head")), None)
+    if first is None:
+        return True
+    up = first
+    while up.parent is not tree:
+        up = up.parent
+        if up.tag in _CODE:
+            return True
+    for c in tree.children:
+        if c is up:
+            return False
+        if c.__class__ is str and c.strip():
+            return True
+    return False
 
 
 def _paths(tree: Node) -> tuple[list[str | None], dict[str, list[str]], list[bool]]:

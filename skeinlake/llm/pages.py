@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from skeinlake.html.layout import render
 from skeinlake.html.tree import Node, parse_html
 
 # fixed values: element classes and wording of page furniture, several languages
@@ -42,9 +43,7 @@ AGO = re.compile(r"\b\d+\s+(?:second|minute|hour|day|week|month|year)s?\s+ago\b|
 ADVERT = re.compile(r"\s*(?:sponsored|advertisements?|advert|anzeige|werbung|gesponsert|publicité|sponsorisé|publicidad|patrocinado|anuncio|publicidade|pubblicità|sponsorizzato|advertentie|gesponsord|реклама|广告)\b\s*[.:!–—-]", re.I)
 READ_ALSO = re.compile(r"\s*(?:read (?:also|more|next)|see also|also read|related|more on this|lesen sie auch|lies auch|siehe auch|mehr dazu|à lire aussi|lire aussi|voir aussi|lea también|ver también|leia também|veja também|leggi anche|vedi anche|lees ook|zie ook|читайте также|см\. также|相关阅读|另见)\s*[:：–—-]", re.I)
 COOKIE = re.compile(r"cookie|cookies|einwilligung|datenschutz|données sur votre appareil|information on your device|informationen auf ihrem|privacy|partners store|куки", re.I)
-#: Longest block that can be a line of furniture.
-FURNITURE_CHARS = 120
-#: Lines of furniture that sites put inside the main column: prompts, bylines, notices. Whole short blocks only.
+#: Lines of furniture that sites put inside the main column: prompts, bylines, notices. Whole blocks of one or two sentences.
 FURNITURE = re.compile(
     r"\W*(?:"
     r"share (?:this|on|via|with)\b|follow (?:us|\w+(?: \w+)?) on\b|was this (?:page|article|post|answer)|copyright\b|©|all rights reserved|comments are closed|written by\b|posted by\b|by [\w.'-]+ [\w.'-]+(?: \||,? on \d|, \d)"
@@ -64,6 +63,20 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:left|top|tex
 SPLIT_CLASS = re.compile(r"[^a-z0-9]+")
 
 
+_NEXT_SENTENCE = re.compile(r"[.!?…]\s+[^\W\d_]\w+\s+\w+\s+\w|[。！？]\s*\w")
+
+
+def is_brief(text: str) -> bool:
+    """Whether a text has at most two sentences, however long."""
+    first = _NEXT_SENTENCE.search(text)
+    return first is None or _NEXT_SENTENCE.search(text, first.end() - 1) is None
+
+
+def is_furniture(text: str) -> bool:
+    """Whether a block is a prompt, byline or notice: at most two sentences, however long, that begin as such."""
+    return FURNITURE.match(text) is not None and is_brief(text)
+
+
 class Segment:
     """A run of text between two block boundaries.
 
@@ -164,12 +177,12 @@ def _structural_junk(n: Node, stats: list, inside: bool, after_own: bool) -> str
                     return "side"
         if not h1 and h <= 1 and AGO.search("".join(c for c in n.children if c.__class__ is str)):
             return "comments"
-        if any(k.tag == "button" for k in kids) and t < 600 or any(g.tag == "button" for k in kids if k.tag == "p" for g in _elements(k)):
+        if any(k.tag == "button" for k in kids) and p <= 2 and not h1 or any(g.tag == "button" for k in kids if k.tag == "p" for g in _elements(k)):
             return "notice"
-        if t < 600 and not h1 and p <= 2 and COOKIE.search(n.text(" ")) and not inside:
+        if not h1 and h <= 1 and p <= 2 and COOKIE.search(n.text(" ")) and not inside:
             return "notice"
     if inside:
-        if n.tag in ("div", "section") and len(kids) == 2 and kids[0].tag in ("h4", "h5", "h6") and kids[1].tag == "p" and a == 0 and t < 120:
+        if n.tag in ("div", "section") and len(kids) == 2 and kids[0].tag in ("h4", "h5", "h6") and kids[1].tag == "p" and a == 0 and is_brief(kids[1].text()):
             return "promo"
         if n.tag in ("ul", "ol") and a >= 2 and l >= 0.95 * t:
             hrefs = [x.get("href").lower() for x in n.find_all("a")]
@@ -182,7 +195,7 @@ def _structural_junk(n: Node, stats: list, inside: bool, after_own: bool) -> str
             return "nav"
         if not h and (direct >= 2 and direct * 2 >= len(kids) - p or (a >= 2 or after_own) and FOOTER.search(n.text())):
             return "footer"
-        if n.tag != "p" and t <= 60 and not p and not a and len(kids) == 1 and kids[0].tag in ("b", "h1", "strong", "img", "h2") and n.parent is not None and n.parent.tag in ("body", "html", "#root", "header"):
+        if n.tag != "p" and not p and not a and not _NEXT_SENTENCE.search(n.text()) and len(kids) == 1 and kids[0].tag in ("b", "h1", "strong", "img", "h2") and n.parent is not None and n.parent.tag in ("body", "html", "#root", "header"):
             return "header"
     return ""
 
@@ -231,7 +244,7 @@ def read_page(html: str | None) -> Page:
         n = n.parent
 
     segments: list[Segment] = []
-    blocks: list[list] = []  # [tag, has text, junk, hidden] by number - 1
+    blocks: list[list] = []  # [tag, has text, junk, hidden, order] by number - 1
     open_blocks: list[int] = []
     parts: list[str] = []
     links = n_links = 0
@@ -299,16 +312,16 @@ def read_page(html: str | None) -> Page:
                     t = " ".join(kids[0].split())
                     if t:
                         j = junk[-1]
-                        if not j and tag == "p" and len(t) < FURNITURE_CHARS and FURNITURE.match(t):
+                        if not j and tag == "p" and is_furniture(t):
                             j = "furniture"
                             junk_at.add(x.order)
                         if open_blocks:
                             for b in open_blocks:
                                 blocks[b][1] = True
-                        blocks.append([tag, True, j, hidden > 0])
+                        blocks.append([tag, True, j, hidden > 0, x.order])
                         segments.append(Segment(t, tag, len(blocks), len(t) if link else 0, 0, j, hidden > 0, code > 0, ()))
                     else:
-                        blocks.append([tag, False, junk[-1], hidden > 0])
+                        blocks.append([tag, False, junk[-1], hidden > 0, x.order])
                     continue
         was = 0
         if x is region:
@@ -325,12 +338,12 @@ def read_page(html: str | None) -> Page:
                         kind = _structural_junk(x, stats, region_depth > 0, own_at is not None and x.order > own_at)
             if not kind and tag in ("p", "blockquote"):
                 s = stats[x.order]
-                own = x.text().strip() if s[0] and (s[2] or s[0] < 200) else ""
+                own = x.text().strip() if s[0] else ""
                 if own and ADVERT.match(own):
                     kind = "promo"
                 elif s[2] and s[1] >= 0.5 * s[0] and READ_ALSO.match(own):
                     kind = "promo"
-                elif tag == "p" and own and len(own) < FURNITURE_CHARS and FURNITURE.match(own):
+                elif tag == "p" and own and is_furniture(own):
                     kind = "furniture"
             if kind:
                 junk.append(kind)
@@ -344,10 +357,11 @@ def read_page(html: str | None) -> Page:
                 was |= 2
         if tag == "font" and re.search(r"#f{3}(?:f{3})?\b|white", x.get("color"), re.I):
             hidden += 1
+            junk_at.add(x.order)
             was |= 2
             flush()
         if tag in NUMBERED:
-            blocks.append([tag, False, junk[-1], hidden > 0])
+            blocks.append([tag, False, junk[-1], hidden > 0, x.order])
             open_blocks.append(len(blocks) - 1)
             block_tag.append((tag, len(blocks)))
         if tag == "a":
@@ -390,6 +404,8 @@ def without_code(text: str) -> str:
     return INLINE_CODE.sub(" ", text) if "\x02" in text else text
 
 
-def main_blocks(page: Page) -> list[int]:
-    """Numbers of the blocks of the main body: with text, visible, in no boilerplate."""
-    return [i + 1 for i, (_, has, junk, hidden) in enumerate(page.blocks) if has and not junk and not hidden]
+def main_body(page: Page) -> tuple[str, list[int]]:
+    """The page laid out as text without hidden parts and boilerplate, and the numbers of the blocks that the layout shows."""
+    shown: set[int] = set()
+    text = render(page.tree, page.junk, shown=shown)
+    return text, [i + 1 for i, b in enumerate(page.blocks) if b[4] in shown]

@@ -11,11 +11,11 @@ SIMILAR = 0.85
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return stuffing.stuffed(table(spark, sf, "fetched_documents")).select("fetch_id")
+    return stuffing.stuffed(table(spark, sf, "fetched_documents"), table(spark, sf, "page_summaries")).select("fetch_id")
 
 
 def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return stuffing.stuffed(table(spark, sf, "fetched_documents")).select("fetch_id", F.round("density", 6).alias("density"), F.round("replicated", 6).alias("replicated"))
+    return stuffing.stuffed(table(spark, sf, "fetched_documents"), table(spark, sf, "page_summaries")).select("fetch_id", *[F.round(c, 6).alias(c) for c in ("density", "carried", "repeated")])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,11 +70,11 @@ def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return main_body.content_blocks(table(spark, sf, "fetched_documents"))
+    return main_body.content_blocks(table(spark, sf, "fetched_documents"), table(spark, sf, "page_summaries"))
 
 
 def p7_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return main_body.main_body(table(spark, sf, "fetched_documents")).select("fetch_id", "text")
+    return main_body.main_body(table(spark, sf, "fetched_documents"), table(spark, sf, "page_summaries")).select("fetch_id", "text")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

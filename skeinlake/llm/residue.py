@@ -100,16 +100,18 @@ PLACEHOLDER = re.compile(
     r"|%(?:\([a-z_]+\)[sd])|\b__[A-Z]+_[A-Z_]+__\b|\*\|[A-Z_]+\|\*|\bundefined undefined\b|\[object Object\]|\bNaN%"
 )
 #: What every form of PLACEHOLDER holds at least one of.
-_SIGN = re.compile(r"[{%\[]|<\?|@@|__|\|\*|undefined|TODO|FIXME|TBD|XXX")
+_SIGNS = ("{", "%", "[", "<?", "@@", "__", "|*", "undefined", "TODO", "FIXME", "TBD", "XXX")
 #: Ends of sentences, and the signs between the entries of a list in one line.
-_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+|\s+[|·•]\s+")
+_SENTENCE = re.compile(r"[.!?…。！？]\s+|\n+|\s[|·•]\s+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+|[\u4e00-\u9fff]")
-_END = re.compile(r"[\s.!?…:。！？]+\Z")
 #: Title parts of a browser check; they count only where a page has no own text.
 _CUT = re.compile(r"\s+[-–—|·]\s+")
 _automaton = None
 _LONGEST_WHOLE = max(map(len, WHOLE)) + 8
+_OUTER = " \t\n\r\f\v.!?…:。！？|·•"
+#: Texts of fewer words are always read sentence by sentence.
+_FEW = 60
 
 
 def automaton():
@@ -137,36 +139,50 @@ _NUMBER_ONLY = re.compile(r"[(#\[]?\s*(?:[\w.]+\s*:\s*0|0|[0a-f]{4,}|(?:referenc
 _MODERN = FUNCTION_WORDS - LATIN - frozenset("a per de si se ac at".split())
 
 
+class _Latin(dict):
+    """Whether a word is one of the public blind text or has a Latin ending, by word."""
+
+    def __missing__(self, w):
+        if len(self) > 1_000_000:
+            self.clear()
+        x = self[w] = w in LATIN or LATIN_ENDING.match(w) is not None
+        return x
+
+
+_latin = _Latin()
+
+
 def is_blind_text(words: list[str]) -> bool:
-    """Whether a sentence is Latin-like filler: by the words of the public blind text or, without words of living languages, by their endings."""
+    """Whether a sentence is Latin-like filler: words of the public blind text or of Latin endings, and none of living languages."""
     n = len(words)
-    if n < 3:
-        return False
-    known = sum(w in LATIN for w in words)
-    if known >= LATIN_SHARE * n:
-        return True
-    if n < LATIN_WORDS or not _MODERN.isdisjoint(words):
+    if n < 3 or not _MODERN.isdisjoint(words):
         return False
-    return known + sum(w not in LATIN and LATIN_ENDING.match(w) is not None for w in words) >= LATIN_SHARE * n
+    return sum(map(_latin.__getitem__, words)) >= LATIN_SHARE * n if n >= LATIN_WORDS else sum(w in LATIN for w in words) >= LATIN_SHARE * n
 
 
 def coverage(text: str) -> tuple[float, dict[str, int]]:
     """Share of the words of a text that stand in marked sentences, and the marked words by kind.
 
     The automaton runs once over the whole text; sentences are looked at only where the hits, whole
-    headings and Latin-like words together can mark enough of it.
+    headings and Latin-like words together can mark enough of it for ``COVERAGE``.
     """
     folded = fold(text)
     spans, at = [], 0
     for m in _SENTENCE.finditer(folded):
-        spans.append((at, m.start()))
-        at = m.end()
+        at, before = m.end(), at
+        spans.append((before, at))
     spans.append((at, len(folded)))
     starts = [a for a, _ in spans]
     kind: dict[int, str] = {}
     for end, (size, k) in automaton().iter(folded):
         if end < size or not folded[end - size].isalpha() or folded[end] > "\u2e80":
             kind.setdefault(bisect_right(starts, end - size + 1) - 1, k)
+    whole = {i for i, (a, b) in enumerate(spans) if b - a <= _LONGEST_WHOLE and folded[a:b].strip(_OUTER) in WHOLE}
+    words = _WORDS.findall(folded)
+    if len(words) >= _FEW:
+        most = sum(len(_WORDS.findall(folded[slice(*spans[i])])) for i in {*kind, *whole}) + sum(map(_latin.__getitem__, words)) / LATIN_SHARE
+        if most < 0.8 * COVERAGE * len(words):
+            return 0.0, {}
     total = marked = 0
     kinds: dict[str, int] = {}
     for i, (a, b) in enumerate(spans):
@@ -176,10 +192,8 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
         if not n:
             continue
         total += n
-        k = kind.get(i, "")
-        if b - a <= _LONGEST_WHOLE and _END.sub("", s).strip() in WHOLE:
-            k = "error"
-        elif not k:
+        k = "error" if i in whole else kind.get(i, "")
+        if not k:
             if is_blind_text(words):
                 k = "filler"
             elif len(s.split()) <= 3 and _NUMBER_ONLY.fullmatch(s.strip()):
@@ -190,9 +204,16 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
     return (marked / total if total else 0.0), kinds
 
 
+def _has_placeholder(text: str) -> bool:
+    for sign in _SIGNS:
+        if sign in text:
+            return PLACEHOLDER.search(without_code(text)) is not None
+    return False
+
+
 def residue_kind(page: Page) -> tuple[str, float]:
     """``placeholder``, ``error``, ``script``, ``filler`` or "", with the marked share of the own words."""
-    if _SIGN.search(page.title) and PLACEHOLDER.search(page.title):
+    if _has_placeholder(page.title):
         return "placeholder", 1.0
     own, notice, listed = [], [], 0
     for s in page.segments:
@@ -206,7 +227,7 @@ def residue_kind(page: Page) -> tuple[str, float]:
             if not s.junk:
                 own.append((s, "\x04"))
             continue
-        if _SIGN.search(t) and PLACEHOLDER.search(without_code(t)):
+        if _has_placeholder(t):
             return "placeholder", 1.0
         if not s.junk:
             if s.links >= 0.8 * len(t):
@@ -222,13 +243,13 @@ def residue_kind(page: Page) -> tuple[str, float]:
         code = 0
     # headings over lists of suggestions ("Most read") belong to the lists
     texts = [t for i, (s, t) in enumerate(own) if not (listed and s.tag in ("h2", "h3", "h4") and len(t) < 40)]
-    words = sum(len(_WORDS.findall(t)) for t in texts)
     if not any(_WORDS.search(t) or _DIGITS.search(t) for t in texts):
         texts = notice + [_CUT.split(page.title)[0]] if notice or page.title else []
         if not texts or listed > 3:
             return "", 0.0
     share, kinds = coverage("\n".join(texts))
-    if code and words:
+    if code and share:
+        words = sum(len(_WORDS.findall(t)) for t in texts)
         share *= words / (words + code)
     if share >= COVERAGE and kinds:
         return max(kinds, key=kinds.get), share

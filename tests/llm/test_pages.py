@@ -1,8 +1,10 @@
 """Problems 1, 3, 6 and 7: pages read layout-aware."""
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skeinlake.llm import main_body, markup, residue, stuffing
-from skeinlake.llm.pages import main_blocks, read_page
+from skeinlake.llm.pages import is_furniture, main_body as body_of, read_page
 
 FETCHED = "fetch_id long, host string, html string, near string, density double, text string"
 ARTICLE = """<html><head><title>The deep queue - Site</title></head><body>
@@ -26,7 +28,7 @@ def frame(spark, rows):
 def test_main_body_blocks():
     page = read_page(ARTICLE)
     # li li | h1 p p | p li li h4 p p | h3 li li | p | p p
-    assert main_blocks(page) == [3, 4, 5]
+    assert body_of(page)[1] == [3, 4, 5]
 
 
 def test_main_body_text(spark):
@@ -70,7 +72,7 @@ def test_stuffed_pages(spark):
     rows = [(1, "a", STUFFED), (2, "b", STUFFED), (3, "c", links), (4, "d", hidden), (5, "e", tagged), (6, "f", ARTICLE), (7, "g", None), (8, None, STUFFED), (1, "a", STUFFED), (9, "h", ERROR)]
     got = {r.fetch_id: r for r in stuffing.stuffed(frame(spark, rows)).collect()}
     assert sorted(got) == [1, 2, 3, 4, 8]
-    assert got[1].replicated > got[3].replicated  # phrases that several hosts share
+    assert got[1].repeated > 0.3 > got[3].repeated and got[1].carried > stuffing.CARRIED > got[3].carried
     assert stuffing.stuffed(frame(spark, [])).count() == 0
 
 
@@ -138,7 +140,7 @@ def test_document_markup(spark):
 
 def test_long_and_broken_pages():
     deep = "<html><body>" + "<div>" * 3000 + "text <p>word" + "</div>" * 10
-    assert main_blocks(read_page(deep)) == [1]
+    assert body_of(read_page(deep))[1] == [1]
     assert read_page("<p a='>x" * 500).segments is not None
     assert read_page("<html><body><p>" + "word " * 200_000).blocks[0][1]
 
@@ -150,3 +152,53 @@ def test_residue_sentences_of_any_length():
     assert residue.residue_kind(read_page(f"<html><body><h1>Heading</h1><p>{filler}</p></body></html>"))[0] == "filler"
     for text in ("La ventana de la casa es blanca y la puerta no.", "Gratis gartenhaus billigkredit armbanduhr server miete.", "Il museo apre alle nove e chiude la sera."):
         assert residue.residue_kind(read_page(f"<html><body><p>{text}</p></body></html>"))[0] == ""
+
+
+def test_furniture_of_any_length():
+    for n in (1, 8, 40):
+        prompt = "Share this page with " + "your friends and " * n + "all others"
+        assert is_furniture(prompt) and body_of(read_page(f"<html><body><h1>Title</h1><p>Text of the page.</p><p>{prompt}</p></body></html>"))[1] == [1, 2]
+    assert not is_furniture("Share this page. Then we go on with the text. And there is one more sentence here.")
+
+
+def test_formulas_and_heads_of_any_length():
+    for n in (5, 150, 600):
+        body = "x_1 + " * n + "y"
+        assert "latex" in markup.markup_kinds(f"Text $${body}$$ more") and "latex" in markup.markup_kinds(f"Text ${body}$ more")
+        assert "latex" in markup.markup_kinds(f"Text\n\\[\n{body}\n\\]\nmore") and "latex" not in markup.markup_kinds(f"It costs $$ a\n\n{body} b $$ ")
+    head = "<meta name='a'>" * 40
+    assert [b[0] for b in markup.branches(f"{head}<body><p>**Bold**</p></body>")] != [0] and markup.branches("# Title\n\n`<body>` is a tag")[0][0] == 0
+
+
+def test_style_tree_decides(spark):
+    """Markup that stands only in a branch that every page of the host repeats is dropped with the branch."""
+    page = "<html><body><div class='main'><p>Page {} says {}.</p></div><div class='foot'><p>Read the **terms** of use</p></div></body></html>"
+    rows = [(i, "h.test", page.format(i, "a **bold** word" if i < 3 else f"number {i} of them")) for i in range(12)]
+    rows += [(99, "other.test", page.format(99, "nothing"))]  # seen on one page only: content like any other
+    df = frame(spark, rows)
+    assert {r.fetch_id for r in markup.page_markup(df).collect()} == {0, 1, 2, 99}
+    assert markup.page_branches(df).filter("size(kinds) > 0").select("fetch_id").distinct().count() == 13  # without the tree
+    texts = {r.fetch_id: r.text for r in markup.clean_pages(df).collect()}
+    assert "terms" not in texts[5] and "number 5" in texts[5] and "terms" in texts[99]
+
+
+def test_hosts_of_phrases_decide(spark):
+    """The same list-like facts are flagged or not by whether other hosts have their phrases; loose evidence needs that hardly any has."""
+    schema = "fetch_id long, host string, total int, listed int, loose int, shingles int, repeated int, phrases array<long>"
+    facts = [(1, "a", 100, 90, 90, 50, 0, [1, 2, 3, 4]), (2, "b", 100, 90, 90, 50, 0, [11, 12, 13, 14]), (3, "c", 100, 90, 90, 50, 40, [1, 2, 3, 4]), (4, "d", 100, 10, 60, 50, 0, [21, 22, 23, 24]), (5, "e", 100, 10, 60, 50, 0, [1, 22, 33, 34]),
+             (6, "f", 100, 40, 40, 50, 0, [41, 42, 43, 44]), (7, "g", 100, 40, 40, 50, 0, [51, 52, 53, 54]), (8, None, 100, 0, 0, 50, 0, [1, 2, 3, 4]), (1, "a", 100, 90, 90, 50, 0, [1, 2, 3, 4])]
+    links = spark.createDataFrame([(6, [("u", "one two three")] * 50), (6, None), (7, [("u", None)] * 50), (None, None)], "fetch_id long, links array<struct<url:string,anchor:string>>")
+    df = spark.createDataFrame(facts, schema)
+    assert {r.fetch_id for r in stuffing.stuffed_pages(df, links).collect()} == {2, 3, 4, 6}
+    assert {r.fetch_id for r in stuffing.stuffed_pages(df).collect()} == {2, 3, 4}
+    everywhere = df.unionByName(df.withColumn("host", F.lit("x"))).unionByName(df.withColumn("host", F.lit("y")))
+    assert {r.fetch_id for r in stuffing.stuffed_pages(everywhere, links).collect()} == {3}  # all phrases on three hosts
+
+
+def test_fingerprints_are_shared():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1 << 60, 50).astype(np.uint64), rng.integers(0, 1 << 60, 50).astype(np.uint64)
+    for at in (0, 17, 40):
+        assert set(stuffing.winnowed(np.concatenate([a, b[at : at + 4]]))) & set(stuffing.winnowed(np.concatenate([b[at : at + 4], a[::-1]])))
+    assert list(stuffing.phrase_hashes([["x"], list("abcdefg"), ["x"]]))[0] == list(stuffing.phrase_hashes([["x"], list("abcdefg"), ["x"]]))[-1]
+    assert len(stuffing.phrase_hashes([["x"], list("abcdefg")])) == 4 and len(stuffing.phrase_hashes([])) == 0
