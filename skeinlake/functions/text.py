@@ -111,7 +111,7 @@ def simhash(docs: DataFrame, key: str, text: str, bits: int = 60) -> DataFrame:
                     for feature, weight in (*((w, 2) for w in ws), *((f"{x} {y}", 1) for x, y in zip(ws, ws[1:]))):
                         h = seen.get(feature)
                         if h is None:
-                            h = seen[feature] = int(hashlib.sha256(feature.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+                            h = seen[feature] = int.from_bytes(hashlib.sha256(feature.encode("utf-8", "surrogatepass")).digest()[:8], "big") >> 4
                         hashes.append(h)
                         weights.append(weight)
                     ends.append(len(hashes))

@@ -145,6 +145,16 @@ def json_ld(root: Node) -> tuple[list, list[str]]:
     return out, warnings
 
 
+def table_pairs(root: Node) -> list[tuple[str, str]]:
+    """Name and value of the rows of two cells, in order; rows with an empty name give none."""
+    out = []
+    for row in root.find_all("tr"):
+        cells = [" ".join(c.text(" ").split()) for c in row.children if c.__class__ is Node and c.tag in ("td", "th")]
+        if len(cells) == 2 and cells[0]:
+            out.append((cells[0].rstrip(": "), cells[1]))
+    return out
+
+
 def definitions(root: Node) -> list[tuple[str, str]]:
     """Terms and descriptions of definition lists."""
     out, term = [], ""

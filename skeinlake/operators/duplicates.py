@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlake.functions import text as T
+from skeinlake.operators.storage import cut
 
 #: Fingerprint bits, blocks they are cut into, and bits in which near duplicates may differ.
 BITS, BLOCKS, DISTANCE = 60, 6, 3
@@ -36,7 +37,7 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_classes(docs: DataFrame, key: str, text: str, distance: int = DISTANCE) -> DataFrame:
     """``key, class_id, links``: documents of one fingerprint form a class named by its least key; links counts other classes within the distance."""
-    x = T.simhash(docs.select(key, text), key, text)
+    x = cut(T.simhash(docs.select(key, text), key, text))  # read three times
     classes = x.groupBy("fingerprint").agg(F.min(key).alias("class_id"))
     pairs = near_pairs(classes, distance)
     links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("links"))

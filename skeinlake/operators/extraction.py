@@ -67,7 +67,7 @@ CANDIDATES = "key string, value string, confidence double, source string"
 
 
 def candidates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """``id, ord, key, value, confidence, source``: JSON-LD, then social and plain metas, then definition lists; values are JSON."""
+    """``id, ord, key, value, confidence, source``: JSON-LD, then social and plain metas, then cells of two-column tables, then definition lists; values are JSON."""
     from skeinlake.html import extract, parse_html
 
     kind = dict(pages.select(key).dtypes)[key]
@@ -85,6 +85,7 @@ def candidates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
         for name in ("title", "description", "author", "canonical_url", "language", "published_time"):
             if m[name]:
                 found.append((name, m[name], 0.85 if name in ("title", "description") else 0.8, "meta_tag"))
+        found += [(a, scalar(b), 0.8, "table") for a, b in extract.table_pairs(root)]
         found += [(a, scalar(b), 0.75, "definition_list") for a, b in extract.definitions(root)]
         return [{"id": k, "ord": i, "key": a, "value": json.dumps(b, ensure_ascii=False), "confidence": c, "source": s} for i, (a, b, c, s) in enumerate(found)]
 
@@ -124,7 +125,9 @@ def coerce(value: Column, kind: str) -> Column:
 def by_schema(cands: DataFrame, schema: dict) -> DataFrame:
     """``id, property, value, confidence, source``: for each property the first candidate of its name that can be coerced, else of its aliases in order at less confidence.
 
-    The alias table is as large as the schema, so candidates are matched by an equi-join on the name.
+    An alias also matches the end of a dotted path, ``offers.price`` that of ``product.offers.price``. The
+    alias table is as large as the schema (at most ``MAX_PROPERTIES`` names), so it is broadcast; every
+    candidate meets it by an equi-join on each end of its path.
     """
     spark = cands.sparkSession
     rows = []
@@ -133,7 +136,10 @@ def by_schema(cands: DataFrame, schema: dict) -> DataFrame:
         kind = next((k for k in kind if k != "null"), "string") if isinstance(kind, list) else kind
         rows += [(p, kind, a, i) for i, a in enumerate(aliases(p))]
     table = spark.createDataFrame(rows, "property string, kind string, alias string, step int")
-    x = cands.withColumn("alias", F.lower("key")).join(F.broadcast(table), "alias")
+    steps = F.split(F.lower("key"), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, i, F.size(steps)), ".").alias("alias"), (i > 1).alias("end")))
+    x = cands.withColumn("_end", F.explode(ends)).select("*", "_end.alias", "_end.end").drop("_end").join(F.broadcast(table), "alias")
+    x = x.filter(~F.col("end") | (F.col("step") > 0))  # a property's own name must be the whole key
     value = F.lit(None).cast("string")
     for k in ("string", "integer", "number", "boolean", "array", "object"):
         value = F.when(F.col("kind") == k, coerce(F.col("value"), k)).otherwise(value)
@@ -142,6 +148,67 @@ def by_schema(cands: DataFrame, schema: dict) -> DataFrame:
     return picked.select("id", "property", F.col("coerced").alias("value"), F.round(F.col("confidence") * F.when(F.col("step") > 0, ALIAS_FACTOR).otherwise(1.0), 6).alias("confidence"), "source")
 
 
+def array_values(cands: DataFrame) -> DataFrame:
+    """``id, value, confidence, source``: for an array schema the first candidate of each record that is an array."""
+    first = cands.filter(F.col("value").rlike(r"^\s*\[")).groupBy("id").agg(F.min_by(F.struct("value", "confidence", "source"), "ord").alias("x"))
+    return first.select("id", "x.*")
+
+
+def with_missing(values: DataFrame, ids: DataFrame, schema: dict, behaviour: str = "null") -> DataFrame:
+    """Values completed for every record (one column of ids): missing properties are left out (``omit``), null, or, if required, an ``error``.
+
+    Adds ``error``, null where there is none. The table of properties is as large as the schema.
+    """
+    if behaviour == "omit":
+        return values.withColumn("error", F.lit(None).cast("string"))
+    required = set(schema.get("required", []))
+    props = values.sparkSession.createDataFrame([(p, p in required) for p in schema.get("properties") or {}], "property string, required boolean")
+    every = ids.select(F.col(ids.columns[0]).alias("id")).distinct().crossJoin(F.broadcast(props))
+    x = every.join(values, ["id", "property"], "left")
+    error = F.when(F.col("value").isNull() & F.col("required") & F.lit(behaviour == "error"), F.concat(F.lit("missing "), "property"))
+    return x.select("id", "property", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "source", error.alias("error"))
+
+
+def repair(value, schema: dict):
+    """A value coerced to its schema wherever that loses nothing, members and items included; what cannot be stays as it is."""
+    kinds = schema.get("type")
+    kinds = kinds if isinstance(kinds, list) else [kinds] if kinds else []
+    if isinstance(value, dict):
+        props = schema.get("properties") or {}
+        return {k: repair(v, props[k]) if k in props else v for k, v in value.items() if k in props or schema.get("additionalProperties") is not False}
+    if isinstance(value, list):
+        return [repair(v, schema["items"]) for v in value] if isinstance(schema.get("items"), dict) else value
+    for kind in kinds:
+        if kind == "string" and isinstance(value, (int, float, bool)):
+            return json.dumps(value)
+        if kind in ("integer", "number") and isinstance(value, str):
+            digits = re.sub(r"[^\d.\-]", "", value)
+            if re.fullmatch(r"-?\d{1,18}(?:\.0*)?", digits):
+                return int(digits.split(".")[0])
+            if kind == "number" and re.fullmatch(r"-?\d+\.\d+", digits):
+                return float(digits)
+        if kind == "integer" and isinstance(value, float) and value.is_integer():
+            return int(value)
+        if kind == "boolean" and isinstance(value, str) and value.lower() in ("true", "yes", "1", "false", "no", "0"):
+            return value.lower() in ("true", "yes", "1")
+        if kind == "array" and not isinstance(value, list) and value is not None:
+            return [repair(value, schema.get("items") or {})]
+    return value
+
+
+def repaired(records: DataFrame, key: str, value: str, schema: dict) -> DataFrame:
+    """``key, value, errors``: JSON values repaired against a schema, and what is still wrong with each; texts that are no JSON have one error."""
+
+    def one(k, v):
+        try:
+            x = repair(json.loads(v), schema)
+        except (TypeError, ValueError):
+            return {key: k, "value": None, "errors": ["$: no JSON"]}
+        return {key: k, "value": json.dumps(x, ensure_ascii=False), "errors": validate(x, schema)}
+
+    return map_rows(records.select(key, value), one, f"{key} {dict(records.dtypes)[key]}, value string, errors array<string>")
+
+
 def without_schema(cands: DataFrame) -> DataFrame:
     """``id, key, value, confidence``: the surest candidate of each plain key."""
     w = Window.partitionBy("id", "key").orderBy(F.desc("confidence"), "ord")

@@ -13,12 +13,19 @@ def dedupe(pages: DataFrame, url: str, order: list, ignore_query: bool = False)
     return x.withColumn("_rn", F.row_number().over(Window.partitionBy("normalized").orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def decide(frontier: DataFrame, url: str, depth: str, seed: str, order: list, **options) -> DataFrame:
-    """Adds ``reason`` (why a row is left out, ``duplicate`` last) and ``normalized``; reason null means it may be fetched."""
+def decide(frontier: DataFrame, url: str, depth: str, seed: str, order: list[str], **options) -> DataFrame:
+    """Adds ``reason`` (why a row is left out, ``duplicate`` last) and ``normalized``; reason null means it may be fetched.
+
+    Equal rows are one row; of rows with one address the first by ``order`` is kept. The first rows are found by
+    a limit that works before the shuffle and joined back by address and row, so an address that a third
+    of all links point to is no hot key.
+    """
     reason = U.filter_reason(F.col(url), F.col(depth), F.col(seed), **options)
-    x = frontier.withColumn("_reason", reason).withColumn("normalized", U.normalize(F.col(url)))
-    rank = F.row_number().over(Window.partitionBy("normalized", F.col("_reason").isNull()).orderBy(*order))
-    return x.withColumn("reason", F.coalesce("_reason", F.when(rank > 1, F.lit("duplicate")))).drop("_reason")
+    x = frontier.distinct().withColumn("_reason", reason).withColumn("normalized", U.normalize(F.col(url))).withColumn("_row", F.xxhash64(*frontier.columns))
+    w = Window.partitionBy("normalized").orderBy(*order, "_row")
+    first = x.filter(F.col("_reason").isNull()).select("normalized", "_row", *order).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("normalized", "_row", F.lit(True).alias("_first"))
+    x = x.join(first, ["normalized", "_row"], "left")
+    return x.withColumn("reason", F.coalesce("_reason", F.when(F.col("_first").isNull(), F.lit("duplicate")))).drop("_reason", "_row", "_first")
 
 
 def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:

@@ -135,15 +135,16 @@ def first_seen(results: DataFrame, key: str, order: list) -> DataFrame:
     return results.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def local_search(docs: DataFrame, key: str, body: Column, query: str, limit: int = 10) -> DataFrame:
-    """``key, score``: share of query tokens that a text holds, .1 to .99 over twice their number."""
+def local_search(docs: DataFrame, key: str, body: Column, query: str, limit: int | None = 10) -> DataFrame:
+    """``key, score``: share of query tokens that a text holds, .1 to .99 over twice their number; without a limit all that hold one."""
     tokens = sorted(set(query_tokens(query)))
     if not tokens:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     have = text.index_tokens(body)
     raw = sum((F.when(F.array_contains(F.col("_t"), t), 1).otherwise(0) for t in tokens), F.lit(0))
     x = docs.select(key, have.alias("_t")).select(key, raw.alias("raw")).filter("raw > 0")
-    return x.select(key, F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.1), F.col("raw") / (2.0 * len(tokens)))), 2).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    x = x.select(key, F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.1), F.col("raw") / (2.0 * len(tokens)))), 2).alias("score"))
+    return x if limit is None else x.orderBy(F.desc("score"), key).limit(limit)
 
 
 def matches_filter(domain: str | None = None, path_prefix: str | None = None, language: str | None = None, document_id: str | None = None, tags: list[str] = (), tenant: str | None = None, url: str = "source_url") -> Column:

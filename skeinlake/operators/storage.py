@@ -7,13 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a session on one machine (``local``) uses the warehouse; a cluster has no
+    folder that all executors are sure to share, so the job ends with an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_skeinlake').rstrip('/')}/{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skeinlake"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written once and read back: short lineage that survives lost executors."""
+    """The rows written once and read back: short lineage that survives lost executors.
+
+    The folder is cleared with the checkpoint folder after the job: the rows are read lazily, so no
+    operator knows when the last reader is done.
+    """
     where = shared_dir(df.sparkSession)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)

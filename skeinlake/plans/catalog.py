@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.plans import search, texts, urls
+from skeinlake.plans import search, stores, texts, urls
 
-MODULES = (urls, texts, search)
+MODULES = (urls, texts, search, stores)
 
 
 def queries() -> dict:

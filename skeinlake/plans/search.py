@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skeinlake.functions import text as T
 from skeinlake.operators import pages, retrieval as R
+from skeinlake.operators.index import InvertedIndex
+from skeinlake.operators.storage import shared_dir
 from skeinlake.sources.providers import MockEmbedder
 from skeinlake.streaming import streams
 
@@ -29,14 +31,33 @@ def _query_vector(dim: int = 64) -> list[float]:
     return [float(x) for x in MockEmbedder(dim).embed([QUERY])[0]]
 
 
+_indexes: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def chunk_index(spark: SparkSession, sf: str) -> InvertedIndex:
+    """The stored index of the chunks of one folder: written by the first query of a session that needs it, read by the others."""
+    at = (spark.sparkContext.applicationId, sf)
+    index = _indexes.get(at)
+    if index is None or index._read("stats") is None:
+        index = InvertedIndex(spark, shared_dir(spark), "chunk_id", "document_id", _fields(), ["source_url", "tenant_id"], buckets=16)
+        index.add(chunks(spark, sf))
+        _indexes[at] = index
+    return index
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_index(spark, sf).search(QUERY, 50)
+
+
+def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without an index: one pass over the texts of a table that is asked once."""
     return R.bm25(chunks(spark, sf), "chunk_id", _fields(), QUERY, limit=50)
 
 
 def bm25_tenant(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical search within the hosts below one prefix; statistics stay those of the whole index."""
-    ok = F.coalesce(F.col("source_url").rlike(r"(?i)^https?://(?:www\.)?docs\."), F.lit(False))
-    return R.bm25(chunks(spark, sf).select("chunk_id", "title", "heading_path", "text", "source_url"), "chunk_id", _fields(), "table extractor", candidates=ok, limit=20)
+    """Lexical search within the shared chunks, those of no tenant, on hosts of documentation; statistics stay those of the whole index."""
+    ok = F.col("tenant_id").isNull() & F.coalesce(F.col("source_url").rlike(r"(?i)^https?://(?:www\.)?docs\."), F.lit(False))
+    return chunk_index(spark, sf).search("table extractor", 20, ok)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +71,7 @@ def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Vector and lexical results fused by reciprocal rank, at most three chunks a document, packed into a token budget."""
     c = chunks(spark, sf)
-    fused = R.rrf(R.knn(c, "chunk_id", "embedding", _query_vector(), 40), R.bm25(c, "chunk_id", _fields(), QUERY, limit=40), "chunk_id")
+    fused = R.rrf(R.knn(c, "chunk_id", "embedding", _query_vector(), 40), chunk_index(spark, sf).search(QUERY, 40), "chunk_id")
     facts = c.select("chunk_id", "document_id", T.approx_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     kept = R.diversify(fused.join(facts, "chunk_id"), "document_id", "rrf", "chunk_id", 3, 20)
     return R.pack(kept, "rrf", "chunk_id", "tokens", budget=4000).select("position", "chunk_id", "document_id", "vector_rank", "lexical_rank", "rrf", "tokens")
@@ -60,7 +81,7 @@ def expanded(spark: SparkSession, sf: str) -> DataFrame:
     """Results of a question and of its variants, each chunk as the first variant saw it."""
     out = None
     for i, q in enumerate(T.expand_query("How does the retry policy work")):
-        x = R.bm25(chunks(spark, sf), "chunk_id", _fields(), q, limit=20).withColumn("variant", F.lit(i))
+        x = chunk_index(spark, sf).search(q, 20).withColumn("variant", F.lit(i))
         out = x if out is None else out.unionByName(x)
     return R.first_seen(out, "chunk_id", ["variant"]).select("chunk_id", "score", "variant")
 
@@ -155,7 +176,7 @@ def queue_stats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_tenant, vector_topk, vector_chunks, hybrid, expanded, local_search, index_stats, citations, page_titles, page_links, page_markdown, page_clean, page_outline, content_types, parsed_pages, render_decisions,
+        bm25_topk, bm25_scan, bm25_tenant, vector_topk, vector_chunks, hybrid, expanded, local_search, index_stats, citations, page_titles, page_links, page_markdown, page_clean, page_outline, content_types, parsed_pages, render_decisions,
         event_windows, event_sessions, latest_fetches, priority_queue, queue_stats,
     )
 }
@@ -163,14 +184,14 @@ QUERIES = {
 from skeinlake.plans.texts import _tokens  # noqa: E402
 from skeinlake.plans.urls import _norm  # noqa: E402
 
-_CHUNKS = "(SELECT chunk_id, any_value(document_id) AS document_id, any_value(source_url) AS source_url, any_value(title) AS title, any_value(array_to_string(coalesce(heading_path, []), ' ')) AS heading, any_value(text) AS text, any_value(embedding::DOUBLE[]) AS embedding FROM chunk_vectors GROUP BY chunk_id)"
+_CHUNKS = "(SELECT chunk_id, any_value(document_id) AS document_id, any_value(source_url) AS source_url, any_value(tenant_id) AS tenant_id, any_value(title) AS title, any_value(array_to_string(coalesce(heading_path, []), ' ')) AS heading, any_value(text) AS text, any_value(embedding::DOUBLE[]) AS embedding FROM chunk_vectors GROUP BY chunk_id)"
 
 
-def _bm25_sql(query: str, limit: int, ok: str = "true") -> str:
+def _bm25_sql(query: str, limit: int, ok: str = "true", where: str = "true") -> str:
     tokens = R.query_tokens(query)
     values = ", ".join(f"('{t}', {tokens.count(t)})" for t in sorted(set(tokens)))
     return f"""
-        WITH c AS (SELECT * FROM {_CHUNKS}),
+        WITH c AS (SELECT * FROM {_CHUNKS} WHERE {where}),
         f AS (SELECT chunk_id, {_tokens("coalesce(title, '')")} AS a, {_tokens("heading")} AS b, {_tokens("coalesce(text, '')")} AS d, contains(lower(text), '{query.lower()}') AS phrase, {ok} AS ok FROM c),
         q(t, m) AS (VALUES {values}),
         w AS (SELECT chunk_id, phrase, ok, greatest(len(a) + len(b) + len(d), 1)::DOUBLE AS dl, t, m, 3.0 * len(list_filter(a, lambda x: x = t)) + 2.0 * len(list_filter(b, lambda x: x = t)) + len(list_filter(d, lambda x: x = t)) AS w FROM f, q),
@@ -185,9 +206,15 @@ def _knn_sql(source: str, key: str, limit: int, least: float = 0.0) -> str:
         FROM {source} WHERE len(embedding) = 64 AND (CASE WHEN list_dot_product(embedding, embedding) = 0 THEN 0 ELSE list_cosine_similarity(embedding, {q}) END + 1) / 2 >= {least} ORDER BY score DESC, {key} LIMIT {limit}"""
 
 
+_VARIANTS = T.expand_query("How does the retry policy work")  # two, so that the second adds what the first has not seen
+
 ORACLES = {
     "bm25_topk": _bm25_sql(QUERY, 50),
-    "bm25_tenant": _bm25_sql("table extractor", 20, "coalesce(regexp_matches(source_url, '(?i)^https?://(?:www\\.)?docs\\.'), false)"),
+    "bm25_scan": _bm25_sql(QUERY, 50),
+    "expanded": " UNION ALL ".join(
+        [f"SELECT *, 0::INT AS variant FROM ({_bm25_sql(_VARIANTS[0], 20)})", *(f"SELECT *, {i}::INT FROM ({_bm25_sql(v, 20)}) WHERE chunk_id NOT IN (SELECT chunk_id FROM ({_bm25_sql(_VARIANTS[0], 20)}))" for i, v in enumerate(_VARIANTS) if i)]
+    ),
+    "bm25_tenant": _bm25_sql("table extractor", 20, "tenant_id IS NULL AND coalesce(regexp_matches(source_url, '(?i)^https?://(?:www\\.)?docs\\.'), false)"),
     "vector_topk": _knn_sql("(SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)", "vec_id", 50),
     "vector_chunks": _knn_sql(f"(SELECT * FROM {_CHUNKS} WHERE embedding IS NOT NULL)", "chunk_id", 50, 0.5),
     "hybrid": f"""

@@ -93,7 +93,12 @@ _SIMHASH = f"""
     s AS (SELECT doc_id, b, sum(CASE WHEN (h & (1::BIGINT << b)) <> 0 THEN v ELSE -v END) AS s FROM h, (SELECT unnest(range(60))::INT AS b) GROUP BY ALL),
     f AS (SELECT doc_id, coalesce(sum(CASE WHEN s > 0 THEN 1::BIGINT << b ELSE 0 END), 0)::BIGINT AS fingerprint FROM d LEFT JOIN s USING (doc_id) GROUP BY 1)"""
 
+_AT = "coalesce(nullif(instr(lower(t), 'retry'), 0), nullif(instr(lower(t), 'policy'), 0), instr(lower(t), 'limiter'))"
+
 ORACLES = {
+    "snippets": f"""
+        WITH d AS (SELECT doc_id, {_D} AS t FROM documents), a AS (SELECT doc_id, t, length(t) AS n, {_AT} AS pos FROM d), w AS (SELECT *, greatest(pos - 40, 1) AS s, least(pos + 80, n + 1) AS e FROM a)
+        SELECT doc_id, CASE WHEN pos > 0 THEN CASE WHEN s > 1 THEN '...' ELSE '' END || substr(t, s, e - s) || CASE WHEN e <= n THEN '...' ELSE '' END WHEN n > 150 THEN substr(t, 1, 150) || '...' ELSE t END AS snippet FROM w""",
     "simhashes": f"WITH {_SIMHASH} SELECT doc_id, fingerprint FROM f",
     "near_duplicates": f"""WITH {_SIMHASH}, c AS (SELECT fingerprint, min(doc_id) AS class_id FROM f GROUP BY 1),
         l AS (SELECT a.fingerprint, count(*) AS links FROM c a JOIN c b ON a.fingerprint <> b.fingerprint AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 3 GROUP BY 1)

@@ -18,6 +18,16 @@ Disallow: /blog/
 Allow: /blog/k
 Sitemap: https://example.org/sitemap.xml
 """
+OTHER_ROBOTS = """User-agent: *
+Disallow: /
+
+User-agent: SkeinBot
+User-agent: otherbot
+Disallow: /guide
+Allow: /guide
+Disallow: /docs/
+Allow: /docs/b   # longer than the rule above
+"""
 AGENT = "skeinbot/1.0"
 QUERY = "retry policy of the host limiter"
 
@@ -56,7 +66,7 @@ def _links(spark, sf):
 
 def frontier_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Links of all pages by the reason that keeps them out of a crawl; ``fetch`` where none does."""
-    x = _links(spark, sf).withColumn("depth", F.lit(1))
+    x = _links(spark, sf).withColumn("depth", F.col("ordinal") % 5)
     decided = frontier.decide(x, "url", "depth", "page_url", ["fetch_id", "ordinal"], subdomains=True, excludes=EXCLUDES)
     return decided.groupBy(F.coalesce("reason", F.lit("fetch")).alias("reason")).agg(F.count("*").alias("links"))
 
@@ -66,9 +76,10 @@ def path_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page under one robots file by the rules of its host."""
+    """Every page by the rules of its own host: one file for hosts of documentation, another for the rest, none for those below ``test``."""
     x = _fetched(spark, sf)
-    rules = x.select(U.origin(F.col("initial_url")).alias("origin")).distinct().select("origin", robots.parse(F.lit(ROBOTS)).alias("rules"))
+    origins = x.select(U.origin(F.col("initial_url")).alias("origin"), U.host(F.col("initial_url")).alias("h")).distinct().filter(~F.col("h").endswith(".test"))
+    rules = origins.select("origin", robots.parse(F.when(F.col("h").startswith("docs."), F.lit(ROBOTS)).otherwise(F.lit(OTHER_ROBOTS))).alias("rules"))
     return frontier.admitted(x.select("fetch_id", "initial_url"), "initial_url", rules, AGENT).select("fetch_id", "allowed")
 
 
@@ -148,14 +159,15 @@ ORACLES = {
     "host_stats": f"SELECT {_HOST('initial_url')} AS host, count(*) AS pages, count(*) FILTER (status < 400) AS ok, count(*) FILTER (status >= 400) AS failed, coalesce(sum(content_length), 0)::BIGINT AS bytes FROM {_FETCHED} GROUP BY 1",
     "frontier_reasons": f"""
         WITH l AS (SELECT *, {_HOST('url')} AS h, {_HOST('page_url')} AS s, {_PATH('url')} AS p, {_norm('url')} AS n FROM {_LINKS}),
-        r AS (SELECT *, CASE WHEN url IS NULL OR NOT regexp_matches(lower(trim(url)), '^https?:') OR h IS NULL THEN 'scheme'
+        r AS (SELECT *, CASE WHEN url IS NULL OR NOT regexp_matches(lower(trim(url)), '^https?:') OR h IS NULL THEN 'scheme' WHEN ordinal % 5 > 3 THEN 'depth'
             WHEN regexp_matches(h, '^(localhost|local|instance-data)$|\\.(localhost|local|internal)$|^(10|127|0)\\.\\d+\\.\\d+\\.\\d+$|^192\\.168\\.\\d+\\.\\d+$') THEN 'blocked_host'
             WHEN regexp_matches(lower(p), '\\.({_ASSETS})$') THEN 'static_asset' WHEN NOT coalesce(h = s OR h LIKE '%.' || s, false) THEN 'domain'
             WHEN regexp_matches(p, '^/blog/k[^/]*$|^/help/.*$') THEN 'path' END AS reason FROM l),
         d AS (SELECT coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY n, reason IS NULL ORDER BY fetch_id, ordinal) > 1 THEN 'duplicate' END, 'fetch') AS reason FROM r)
         SELECT reason, count(*) AS links FROM d GROUP BY 1""",
     "path_filter": f"SELECT fetch_id, regexp_matches({_PATH('initial_url')}, '^/docs/.*$|^/guide/.*$|^/blog/[^/]*$') AND NOT regexp_matches({_PATH('initial_url')}, '^/blog/k[^/]*$|^/help/.*$') AS allowed FROM {_FETCHED}",
-    "robots_allowed": f"SELECT fetch_id, NOT starts_with({_PATH('initial_url')}, '/blog/') OR starts_with({_PATH('initial_url')}, '/blog/k') AS allowed FROM {_FETCHED}",
+    "robots_allowed": f"""WITH x AS (SELECT fetch_id, {_HOST('initial_url')} AS h, {_PATH('initial_url')} AS p FROM {_FETCHED})
+        SELECT fetch_id, CASE WHEN h IS NULL OR h LIKE '%.test' THEN true WHEN h LIKE 'docs.%' THEN NOT starts_with(p, '/blog/') OR starts_with(p, '/blog/k') ELSE NOT starts_with(p, '/guide') AND (NOT starts_with(p, '/docs/') OR starts_with(p, '/docs/b')) END AS allowed FROM x""",
     "source_class": f"""
         SELECT class, CASE class WHEN 'documentation' THEN 0.9 WHEN 'primary' THEN 0.95 ELSE 0.4 END::DOUBLE AS weight, count(*) AS documents FROM (
           SELECT CASE WHEN {_HOST('source_url')} IS NULL THEN 'unknown' WHEN regexp_matches({_HOST('source_url')}, '^docs\\.|^developer\\.') OR regexp_matches(lower({_PATH('source_url')}), '^/(doc|documentation|guide|api|reference)') THEN 'documentation' ELSE 'primary' END AS class
@@ -173,4 +185,12 @@ ORACLES = {
         e AS (SELECT DISTINCT {_norm('page_url')} AS url, {_norm('url')} AS target FROM {_LINKS} WHERE {_norm('url')} IS NOT NULL),
         b(url, depth) AS (SELECT min(url), 0 FROM p WHERE url IS NOT NULL GROUP BY h UNION SELECT e.target, depth + 1 FROM b JOIN e ON e.url = b.url JOIN p ON p.url = b.url WHERE depth < 3)
         SELECT url, min(depth)::INT AS depth, url IN (SELECT url FROM p WHERE url IS NOT NULL) AS found FROM b WHERE url IS NOT NULL GROUP BY url""",
+    "snapshot_diff": f"""
+        WITH x AS (SELECT DISTINCT fetch_id, {_norm('final_url')} AS url, final_url, status, fetched_at, epoch_us(fetched_at) AS t, sha256(html) AS raw,
+          sha256(array_to_string(list_filter(list_transform(string_split(html, chr(10)), lambda l: regexp_replace(l, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda l: l <> ''), chr(10))) AS norm FROM fetched_documents),
+        u AS (SELECT * FROM x WHERE url IS NOT NULL), m AS (SELECT min(t) / 2 + max(t) / 2 AS mid FROM u),
+        n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, fetch_id DESC) AS rn FROM u),
+        o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, fetch_id DESC) AS rn FROM u, m WHERE t <= mid),
+        j AS (SELECT a.url AS au, b.url AS bu, a.status, a.final_url AS af, b.final_url AS bf, coalesce(a.raw = b.raw, false) OR coalesce(a.norm = b.norm, false) AS same FROM (SELECT * FROM n WHERE rn = 1) a FULL JOIN (SELECT * FROM o WHERE rn = 1) b ON a.url = b.url)
+        SELECT CASE WHEN au IS NULL THEN 'deleted' WHEN bu IS NULL THEN 'new' WHEN status = 304 THEN 'unchanged' WHEN status IN (404, 410) THEN 'deleted' WHEN status >= 400 THEN 'unknown' WHEN af IS DISTINCT FROM bf THEN 'redirected' WHEN same THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS pages FROM j GROUP BY 1""",
 }

@@ -8,8 +8,6 @@ from typing import Protocol
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from skeinlake.functions.arrow import map_rows
-
 
 class Embedder(Protocol):
     dimensions: int
@@ -44,12 +42,31 @@ def embed(chunks: DataFrame, key: str, text: str, embedder: Embedder, cache: Dat
     fresh = x.groupBy("hash").agg(F.min("text").alias("text"))
     if cache is not None:
         fresh = fresh.join(cache.select("hash"), "hash", "left_anti")
-    done = map_rows(fresh, lambda h, t: {"hash": h, "embedding": embedder.embed([t])[0]}, "hash string, embedding array<float>")
+    done = fresh.mapInArrow(_embed_batches(embedder), "hash string, embedding array<float>")
     if cache is not None:
         done = done.unionByName(cache.select("hash", "embedding"))
     return x.join(done, "hash").select(key, "hash", "embedding")
 
 
+def _embed_batches(embedder: Embedder, most: int = 32, budget: int = 20_000):
+    """One request of the embedder for up to ``most`` texts or about ``budget`` tokens, whichever is reached first."""
+
+    def run(rows):
+        import pyarrow as pa
+
+        for b in rows:
+            texts, vectors, start, size = b.column(1).to_pylist(), [], 0, 0
+            for i, t in enumerate([*texts, None]):
+                n = len(t or "") // 4 + 1
+                if i > start and (t is None or i - start >= most or size + n > budget):
+                    vectors += embedder.embed(texts[start:i])
+                    start, size = i, 0
+                size += n
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["hash", "embedding"])
+
+    return run
+
+
 def signature(secret: str, timestamp: int, payload: str) -> str:
     """HMAC-SHA256 of ``{timestamp}.{payload}`` in hex."""
     return hmac.new(secret.encode(), f"{timestamp}.{payload}".encode(), hashlib.sha256).hexdigest()
