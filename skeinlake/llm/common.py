@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinlake.operators.storage import cut as written, shared_dir
+
 #: Fewer garbage collections in Python workers: page trees are cyclic, short-lived and many.
 GC_THRESHOLD = 200_000
 
@@ -38,32 +39,16 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, struct)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is missing, as in tests, a folder below the warehouse is used: a local
-    session has no executors on other machines.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skeinlake"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read from there: a cut of the lineage that survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int | None = None) -> DataFrame:
     """Inner join of many rows with a table that has each key once, where one key may hold a third of the left rows.
 
-    The right side is repeated once per salt, so a hot key's rows spread over ``salts`` tasks.
+    The right side is repeated once per salt, so a hot key's rows spread over ``salts`` tasks: one for
+    every four cores of the cluster, 16 to 64. What is still too large for a task is split by the adaptive
+    skew join, which needs no bound: the salted key stays a plain equi-join.
     """
     from pyspark.sql import functions as F
 
+    salts = salts or min(64, max(16, left.sparkSession.sparkContext.defaultParallelism // 4))
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"]).drop("_salt")

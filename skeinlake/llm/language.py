@@ -6,7 +6,10 @@ and frozen. The exact code length of a paragraph under each tree decides its lan
 are flattened into one table per order - n-gram to its cost in every language, escapes already
 added - so that a paragraph costs one lookup a byte for all languages together.
 
-Fitting is the only place with a bound: at most ``SAMPLE`` documents a language, chosen by hash.
+Fitting is the only place with a bound: at most about ``SAMPLE`` documents a language, chosen by hash, of
+each at most ``PARAGRAPHS`` counted paragraphs, spread evenly over it, of each at most ``PARAGRAPH_BYTES``.
+Only labels of two letters name a language to be fitted, as results are two-letter codes; others, such
+as ``eng``, are never trained on and never match, so their documents are cases.
 Since labels may be wrong, the sample is scored by its first fit, paragraphs move to the language
 that codes them shortest, and the trees are fitted again.
 
@@ -30,6 +33,7 @@ from skeinlake.llm.hashing import HashIndex
 
 ORDER = 4
 SAMPLE = 240
+PARAGRAPHS, PARAGRAPH_BYTES = 8, 4096
 #: Labels with fewer sampled documents make no language.
 MIN_DOCUMENTS = 3
 MIN_LETTERS = 40
@@ -133,7 +137,7 @@ class LanguageModel:
         self._index = None
         self.scripts = []
         for x in self.languages:
-            share = scripts(samples[x][:200_000])
+            share = scripts(samples[x])
             top = max(share, key=share.get, default="")
             self.scripts.append(top if top and share[top] > 0.4 else "")
 
@@ -226,12 +230,22 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return LanguageModel({"und": b" "})
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     limit = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, int(min(1.0, sample / v) * (1 << 20)) + 1)])
-    rows = known.filter(place < limit[F.col("label")]).select("label", place.alias("place"), "text").collect()
+    chosen = known.filter(place < limit[F.col("label")]).select("doc_id", "label", place.alias("place"), "text")
+
+    def sampled(b):
+        out = {"label": [], "place": [], "doc_id": [], "texts": []}
+        for d, x, at, t in zip(*[c.to_pylist() for c in b.columns]):
+            p = [q[2][:PARAGRAPH_BYTES] for q in paragraphs(t)]
+            if p:
+                pick = sorted({i * len(p) // PARAGRAPHS for i in range(PARAGRAPHS)}) if len(p) > PARAGRAPHS else range(len(p))
+                for k, v in zip(out, (x, at, d, [p[i] for i in pick])):
+                    out[k].append(v)
+        return out
+
+    rows = map_arrow(chosen, sampled, "label string, place long, doc_id long, texts array<binary>").collect()
     by: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
-        by.setdefault(r["label"], [])
-        if len(by[r["label"]]) < sample * 8:
-            by[r["label"]] += [p[2] for p in paragraphs(r["text"])][:8]
+    for r in sorted(rows, key=lambda r: (r["place"], r["doc_id"])):
+        by.setdefault(r["label"], []).extend(bytes(t) for t in r["texts"])
     by = {k: v for k, v in by.items() if v}
     if not by:
         return LanguageModel({"und": b" "})

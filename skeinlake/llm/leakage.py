@@ -154,8 +154,8 @@ PAIRS = "doc_id long, item_id long, score int, matched int, item_words int, long
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, score, matched, item_words, longest_run`` of documents that align with an item.
 
-    A pair is reported if it has an exact run of ``RUN`` words, all words of a shorter item, or an
-    alignment that matches at least ``IDENTITY`` of the item's words.
+    A pair is reported if its alignment scores as high as a run of ``RUN`` words, or as all words of a shorter
+    item, and holds such a run, or if it matches at least ``IDENTITY`` of the item's words.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
@@ -191,7 +191,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 for p in parts:
                     a = align(p, item)
                     best, longest = max(best, a), max(longest, a[2])
-                if longest >= min(RUN, n) or best[1] >= IDENTITY * n and best[1] >= SEED:
+                if best[0] >= MATCH * min(RUN, n) and longest >= min(RUN, n) or best[1] >= IDENTITY * n and best[1] >= SEED:
                     for c, v in zip(rows, (ids[doc], it.ids[i], best[0], best[1], n, longest)):
                         rows[c].append(v)
             return rows

@@ -8,11 +8,17 @@ its own cell's (within ``MARGIN``, at most ``PROBES``), scores their codes throu
 its best ``RERANK`` candidates of each block are ranked again by exact cosine.
 
 Bound of the fit: centroids and codebooks are trained on at most ``SAMPLE`` vectors chosen by hash;
-every vector is indexed and queried. Cells are cut into blocks of about ``BLOCK`` rows on both sides,
-so that a cell which holds a third of all vectors is spread over many tasks. Where the sample is too
-small to train a centroid for every ``CELL`` vectors, cells are pairs of a centroid and one of up to
-256 residual centroids that all cells share, which keeps their number in proportion to the rows. Exactly equal vectors are
-one row of the index with its members; results are expanded to members at the end.
+every vector is indexed and queried. The coarse quantiser is a hierarchy: where the sample is too small
+to train a centroid for every ``CELL`` vectors, cells are paths of a centroid and of residual centroids
+that all cells share, with as many levels of at most ``FAN`` as the number of rows needs, so cells stay
+small at any size and each vector visits at most ``PROBES`` of them.
+
+Cells of more than ``HOT`` rows, such as groups of nearly equal vectors, are cut by the first word of the
+stored codes into as many parts as their size needs, up to 256; a query visits the ``SUBCELLS`` of them
+nearest to it, so its copies stay bounded there too. What is still large is cut into blocks of about ``BLOCK`` rows on both sides, which spreads it over
+many tasks. The search runs in as many partitions as its rows need. Exactly equal vectors are one row
+of the index with its members; results are expanded to members at the end. ``exact=True`` compares every
+vector with all others, block by block: the exact way, for tables small enough for it.
 
 Defined results: nulls, vectors with a null, NaN or infinite component, all-zero vectors and vectors
 whose dimension differs from the most frequent one take no part; a chunk is never its own neighbour;
@@ -21,6 +27,8 @@ array order); with one vector alone there are no rows. Recall is measured in the
 """
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -33,6 +41,12 @@ CELL = 512
 BOOKS, WORDS, BEAM = 8, 256, 4
 PROBES, MARGIN = 8, 0.12
 BLOCK, RERANK = 2048, 96
+#: Residual centroids of one level of the coarse quantiser.
+FAN = 256
+#: Rows from which a cell is cut by its codes, and parts of it that a query visits.
+HOT, SUBCELLS = 16_384, 16
+#: Rows, own and visiting, of one partition of the search.
+PARTITION_ROWS = 16_384
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool = False) -> np.ndarray:
@@ -63,9 +77,15 @@ class Quantizer:
         x = sample.astype(np.float32)
         self.coarse = _kmeans(x, min(cells, max(1, len(x) // 16)), 8, rng, spherical=True)
         r = x - self.coarse[(x @ self.coarse.T).argmax(axis=1)]
-        parts = min(256, cells // len(self.coarse))
-        self.parts = _kmeans(r, parts, 8, rng) if parts > 1 else np.zeros((1, x.shape[1]), np.float32)
-        r = x - self.centroid(self._cells(x)[0])
+        self.levels, left = [], cells / len(self.coarse)
+        while left >= 2:
+            level = _kmeans(r, min(FAN, int(np.ceil(left))), 8, rng)
+            near = np.concatenate([(part @ level.T - 0.5 * (level * level).sum(axis=1)).argmax(axis=1) for part in np.array_split(r, max(1, len(r) // 2048))])
+            self.levels.append(level)
+            r = r - level[near]
+            left /= len(level)
+        self._norms()
+        r = x - self.centroid(np.concatenate([self._cells(x[s : s + 512])[0] for s in range(0, len(x), 512)]))
         words = max(1, min(WORDS, len(x) // 4))
         books, rest = [], r.copy()
         for _ in range(BOOKS):
@@ -88,6 +108,7 @@ class Quantizer:
         ridge = 1.0
         start = self.books.reshape(m * k, d).astype(np.float64)
         self.books = np.linalg.solve(gram + ridge * np.eye(m * k), target + ridge * start).reshape(m, k, d).astype(np.float32)
+        self._group_words()
 
     def _beam(self, r: np.ndarray) -> np.ndarray:
         n, d = r.shape
@@ -107,27 +128,65 @@ class Quantizer:
         best = (rest * rest).sum(axis=2).argmin(axis=1)
         return codes[np.arange(n), best]
 
+    def _norms(self):
+        """Squared norms and inner products of the words of all levels, the coarse centroids first."""
+        every = [self.coarse, *self.levels]
+        self.products = [[x @ y.T for x in every[:i]] for i, y in enumerate(every)]
+        self.squares = [(y * y).sum(axis=1) for y in every]
+
     def centroid(self, cell) -> np.ndarray:
-        n = len(self.parts)
-        return self.coarse[np.asarray(cell) // n] + self.parts[np.asarray(cell) % n]
+        """The centroid of each cell: the sum of the words on its path."""
+        cell = np.asarray(cell, dtype=np.int64)
+        out = 0.0
+        for level in reversed(self.levels):
+            out = out + level[cell % len(level)]
+            cell = cell // len(level)
+        return self.coarse[cell] + out
 
     def _cells(self, v: np.ndarray):
-        """The cell of each vector, and the cells to probe."""
+        """The cell of each vector, and the cells to probe: the best paths through the levels, kept ``PROBES`` at a time."""
         sims = v @ self.coarse.T
-        n = len(self.parts)
         p = min(PROBES, sims.shape[1])
         near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
-        value = np.take_along_axis(sims, near, axis=1)
-        if n > 1:
-            near = (near[:, :, None] * n + np.arange(n)).reshape(len(v), -1)
-            c = self.centroid(near)
-            value = np.einsum("vd,vcd->vc", v, c) / np.maximum(np.linalg.norm(c, axis=2), 1e-6)
-            top = np.argpartition(-value, p - 1, axis=1)[:, :p]
-            near, value = np.take_along_axis(near, top, axis=1), np.take_along_axis(value, top, axis=1)
+        dot, square, paths = np.take_along_axis(sims, near, axis=1), self.squares[0][near], [near]
+        value, cell = dot, near.astype(np.int64)
+        for i, level in enumerate(self.levels, 1):
+            n = len(level)
+            d = dot[:, :, None] + (v @ level.T)[:, None, :]
+            q = square[:, :, None] + self.squares[i] + 2 * sum(self.products[i][j][path] for j, path in enumerate(paths))
+            score = (d / np.sqrt(np.maximum(q, 1e-12))).reshape(len(v), -1)
+            k = min(PROBES, score.shape[1])
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            up, word = top // n, top % n
+            paths = [np.take_along_axis(path, up, axis=1) for path in paths] + [word]
+            cell = np.take_along_axis(cell, up, axis=1) * n + word
+            dot, square = np.take_along_axis(d.reshape(len(v), -1), top, axis=1), np.take_along_axis(q.reshape(len(v), -1), top, axis=1)
+            value = np.take_along_axis(score, top, axis=1)
         best = value.argmax(axis=1)
         here = np.arange(len(v))
         close = value >= value[here, best][:, None] - MARGIN
-        return near[here, best], [near[i, close[i]] for i in range(len(v))]
+        return cell[here, best], [cell[i, close[i]] for i in range(len(v))]
+
+    def _group_words(self):
+        """Groups of the words of the first codebook, by powers of two from 1 to 256: the group of each word, and the centres."""
+        rng = np.random.default_rng(11)
+        self.groups = []
+        for i in range(9):
+            c = _kmeans(self.books[0], 1 << i, 12, rng)
+            self.groups.append(((self.books[0] @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1), c))
+
+    def subcells(self, v: np.ndarray, cell: np.ndarray, level: np.ndarray) -> list[list[int]]:
+        """The parts of its cell that each vector visits: the groups of first words nearest to its residual."""
+        r = v - self.centroid(cell)
+        out: list = [None] * len(v)
+        for x in np.unique(level):
+            at = np.flatnonzero(level == x)
+            c = self.groups[x][1]
+            cost = 0.5 * (c * c).sum(axis=1) - r[at] @ c.T
+            m = min(SUBCELLS, len(c))
+            for i, top in zip(at.tolist(), np.argpartition(cost, m - 1, axis=1)[:, :m].tolist()):
+                out[i] = top
+        return out
 
     def encode(self, x: np.ndarray):
         """Cell, codes, norm of the reconstruction, and the cells to probe, of unit vectors."""
@@ -148,16 +207,20 @@ class Quantizer:
             out += self.books[m][codes[:, m]]
         return out
 
-    def search(self, queries: np.ndarray, cell: int, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, keep: int):
-        """Positions and exact cosines of the best rows of one block for each query, best first."""
+    def search(self, queries: np.ndarray, cell: int, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, keep: int, rerank: int | None = RERANK):
+        """Positions and exact cosines of the best rows of one block for each query, best first; all rows are ranked exactly without ``rerank``."""
         n = len(codes)
+        if rerank is None:
+            exact = queries.astype(np.float64) @ vectors.astype(np.float64).T
+            order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
+            return order, np.take_along_axis(exact, order, axis=1)
         tables = np.einsum("qd,mkd->mqk", queries, self.books, optimize=True)
         first = queries @ self.centroid(cell)
         score = np.repeat(first[:, None], n, axis=1)
         for m in range(len(tables)):
             score += np.take(tables[m], codes[:, m], axis=1)
         score /= np.maximum(norms, 1e-6)
-        r = min(RERANK, n)
+        r = min(rerank, n)
         pick = np.argpartition(-score, r - 1, axis=1)[:, :r] if r < n else np.tile(np.arange(n), (len(queries), 1))
         exact = np.einsum("qd,qrd->qr", queries.astype(np.float64), vectors[pick].astype(np.float64))
         order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
@@ -193,16 +256,18 @@ def fit(index: DataFrame, sample: int = SAMPLE) -> tuple[Quantizer | None, int]:
     if not n:
         return None, 0
     share = min(1.0, sample / n)
-    rows = index.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "v").toArrow()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    chosen = index.filter(place < int(share * (1 << 40)) + 1).select("id", "v")
+    rows = chosen.orderBy(F.xxhash64("id"), "id").limit(2 * sample).toArrow()  # by hash too: a bound for the driver that chance does not exceed
     x = _unit(_matrix(rows.column("v")))[np.argsort(rows.column("id").to_numpy(zero_copy_only=False))]
-    return Quantizer(x[: 2 * sample], max(1, n // CELL)), n
+    return Quantizer(x, max(1, n // CELL)), n
 
 
 NEAR = "array<struct<s:double,id:string,m:boolean>>"
 
 
-def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embedding", k: int = K) -> DataFrame:
-    """``id, neighbour, similarity, rank``: the k most similar keys of every key by cosine."""
+def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embedding", k: int = K, exact: bool = False) -> DataFrame:
+    """``id, neighbour, similarity, rank``: the k most similar keys of every key by cosine; ``exact`` compares all with all."""
     spark = vectors.sparkSession
     rows = usable(vectors, key, embedding).withColumn("g", F.xxhash64("v", F.lit(1))).withColumn("h", F.xxhash64("v"))
     # equal vectors are one row of the index, named by the least id; m tells that others share it
@@ -214,21 +279,42 @@ def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embe
 
     def encode(b):
         cell, codes, norms, probes = shared.value.encode(_unit(_matrix(b.column(1))))
+        if exact:
+            cell, probes = np.zeros_like(cell), [np.zeros(1, np.int64)] * len(cell)
         same = {c: b.column(i) for i, c in enumerate(("id", "v", "g", "h", "m"))}
-        return same | {"cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32), "probes": [p.tolist() for p in probes]}
-
-    coded = written(map_arrow(index, encode, "id string, v array<float>, g long, h long, m boolean, cell int, codes binary, norm float, probes array<int>"))
+        return same | {"cell": cell, "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32), "probes": [p.tolist() for p in probes]}
+
+    coded = written(map_arrow(index, encode, "id string, v array<float>, g long, h long, m boolean, cell long, codes binary, norm float, probes array<long>"))
+    base = coded.select("cell", F.lit(-1).alias("sub"), "id", "v", "m", "codes", "norm")
+    query = coded.select(F.explode("probes").alias("cell"), F.lit(-1).alias("sub"), "id", "v", "m")
+    if not exact:
+        size = F.ceil(F.log2(F.col("count") * 4 / HOT))
+        hot = written(coded.groupBy("cell").count().filter(F.col("count") > HOT).select("cell", F.least(size, F.lit(8)).cast("int").alias("level")))
+        if not hot.isEmpty():
+
+            def visited(b):
+                cell, v, level = b.column(0).to_numpy(), _unit(_matrix(b.column(2))), b.column(4).to_numpy()
+                return {"cell": b.column(0), "id": b.column(1), "v": b.column(2), "m": b.column(3), "subs": shared.value.subcells(v, cell, level)}
+
+            group = F.from_json(F.lit(json.dumps([g.tolist() for g, _ in quantizer.groups])), "array<array<int>>")
+            word = F.conv(F.hex(F.substring("codes", 1, 1)), 16, 10).cast("int")
+            part = F.element_at(F.element_at(group, F.col("level") + 1), word + 1)
+            base = base.join(hot, "cell", "left_anti").unionByName(base.join(hot, "cell").withColumn("sub", part).drop("level"))
+            visits = map_arrow(query.join(hot, "cell").select("cell", "id", "v", "m", "level"), visited, "cell long, id string, v array<float>, m boolean, subs array<int>")
+            query = query.join(hot, "cell", "left_anti").unionByName(visits.select("cell", F.explode("subs").alias("sub"), "id", "v", "m"))
     # rows of each cell and visits to it, one row per cell of the fit
-    held = coded.groupBy("cell").count()
-    visits = coded.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.count("*").alias("visits"))
-    plan = held.join(visits, "cell", "left").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil(F.coalesce("visits", F.lit(0)) / (8 * BLOCK)), F.lit(1)).cast("int").alias("sides"))
+    held = base.groupBy("cell", "sub").count()
+    visits = query.groupBy("cell", "sub").agg(F.count("*").alias("visits"))
+    plan = held.join(visits, ["cell", "sub"], "left").select("cell", "sub", "count", F.coalesce("visits", F.lit(0)).alias("visits"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil(F.coalesce("visits", F.lit(0)) / (8 * BLOCK)), F.lit(1)).cast("int").alias("sides"))
+    plan = written(plan)
+    load = plan.agg(F.sum(F.col("count") * F.col("sides") + F.col("visits") * F.col("blocks")).alias("rows")).first()["rows"]
     place = F.xxhash64("id")
-    shape = plan.select("cell", "blocks", "sides")
-    base = coded.select("cell", "id", "v", "m", "codes", "norm").join(shape, "cell").select(
-        "cell", F.pmod(place, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "id", "v", "m", "codes", "norm"
+    shape = plan.select("cell", "sub", "blocks", "sides")
+    base = base.join(shape, ["cell", "sub"]).select(
+        "cell", "sub", F.pmod(place, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "id", "v", "m", "codes", "norm"
     )
-    query = coded.select(F.explode("probes").alias("cell"), "id", "v", "m").join(shape, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, F.col("sides")).cast("int").alias("side"), "id", "v", "m",
+    query = query.join(shape, ["cell", "sub"]).select(
+        "cell", "sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, F.col("sides")).cast("int").alias("side"), "id", "v", "m",
         F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"),
     )
 
@@ -246,7 +332,7 @@ def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embe
         offsets, near, sims = [np.zeros(1, np.int64)], [], []
         for s in range(0, len(ask) if len(own) else 0, 512):
             part = ask[s : s + 512]
-            at, sim = q.search(vectors[part], cell, codes, norms, vectors[own], k + 1)
+            at, sim = q.search(vectors[part], cell, codes, norms, vectors[own], k + 1, None if exact else RERANK)
             other = own[at]
             ok = ids[other] != ids[part][:, None]
             ok &= np.cumsum(ok, axis=1) <= k
@@ -259,7 +345,9 @@ def neighbours(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embe
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), items)
         return pa.table({"id": pa.array(ids[ask], pa.string()), "m": pa.array(multiple[ask].astype(bool)), "near": lists})
 
-    found = base.unionByName(query).groupBy("cell", "block", "side").applyInArrow(search, f"id string, m boolean, near {NEAR}")
+    groups = ["cell", "sub", "block", "side"]
+    rows_of = base.unionByName(query).repartition(max(1, -(-int(load or 0) // PARTITION_ROWS)), *groups)
+    found = rows_of.groupBy(*groups).applyInArrow(search, f"id string, m boolean, near {NEAR}")
     near = found.groupBy("id").agg(F.first("m").alias("m"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return _expand(near, rows.select("id", "g", "h"), coded.filter("m").select(F.col("id").alias("head"), "g", "h"), k)
 
