@@ -11,7 +11,7 @@ Bound of the fit: centroids and codebooks are trained on at most ``SAMPLE`` vect
 every vector is indexed and queried. The coarse quantiser is a hierarchy: where the sample is too small
 to train a centroid for every ``CELL`` vectors, cells are paths of a centroid and of residual centroids
 that all cells share, with as many levels of at most ``FAN`` as the number of rows needs, so cells stay
-small at any size; each vector visits at most ``PROBES`` of them, twice as many for each level.
+small at any size; each vector visits at most ``PROBES`` of them, three times as many for each level.
 
 Cells of more than ``HOT`` rows, such as groups of nearly equal vectors, are cut by the first word of the
 stored codes into as many parts as their size needs, up to 256; a query visits the ``SUBCELLS`` of them
@@ -144,9 +144,9 @@ class Quantizer:
         return self.coarse[cell] + out
 
     def _cells(self, v: np.ndarray):
-        """The cell of each vector, and the cells to probe: the best paths through the levels, ``PROBES`` of them, twice as many with each level."""
+        """The cell of each vector, and the cells to probe: the best paths through the levels, ``PROBES`` of them, three times as many with each level."""
         sims = v @ self.coarse.T
-        probes = PROBES << len(self.levels)
+        probes = PROBES * 3 ** len(self.levels)
         p = min(probes, sims.shape[1])
         near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
         dot, square, paths = np.take_along_axis(sims, near, axis=1), self.squares[0][near], [near]
