@@ -17,23 +17,26 @@ from pyspark.sql import DataFrame, functions as F
 from skeinlake.llm import pages
 from skeinlake.llm.common import map_arrow, written
 from skeinlake.llm.residue import residue_kind
-from skeinlake.llm.stuffing import FACTS, evidence, stuffed_pages
+from skeinlake.llm.stuffing import FACTS, evidence, phrase_columns, stuffed_pages
 
 
 def laid_out(fetched: DataFrame, text: bool) -> DataFrame:
     """Rows of ``stuffing.page_facts`` with ``blocks`` and, if wanted, ``text`` of every main body that is no residue."""
 
     def rows(b):
-        out = {k.split()[0]: [] for k in FACTS.split(", ")} | {"blocks": []} | ({"text": []} if text else {})
-        for f, host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            page = pages.read_page(h)
+        out = {k: [] for k in ("fetch_id", "host", "total", "listed", "loose", "blocks", *["text"] * text)}
+        words = []
+        for f, host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            page = pages.read_page(h.as_py())
             if not page.blocks or residue_kind(page)[0]:
                 continue
             body, blocks = pages.main_body(page)
             if blocks:
-                for k, v in zip(out, (f, host, *evidence(page), blocks, body)):
+                total, listed, loose, *phrases = evidence(page)
+                for k, v in zip(out, (f, host, total, listed, loose, blocks, body)):
                     out[k].append(v)
-        return out
+                words.append(phrases)
+        return out | phrase_columns(words)
 
     return map_arrow(fetched.select("fetch_id", "host", "html"), rows, f"{FACTS}, blocks array<int>" + (", text string" if text else ""))
 

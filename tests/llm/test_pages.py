@@ -202,3 +202,26 @@ def test_fingerprints_are_shared():
         assert set(stuffing.winnowed(np.concatenate([a, b[at : at + 4]]))) & set(stuffing.winnowed(np.concatenate([b[at : at + 4], a[::-1]])))
     assert list(stuffing.phrase_hashes([["x"], list("abcdefg"), ["x"]]))[0] == list(stuffing.phrase_hashes([["x"], list("abcdefg"), ["x"]]))[-1]
     assert len(stuffing.phrase_hashes([["x"], list("abcdefg")])) == 4 and len(stuffing.phrase_hashes([])) == 0
+
+
+def test_every_phrase_counts(spark):
+    """The carried share is exact: phrases are neither sampled nor windowed, whoever repeats them."""
+    words = [a + b + "x" for a in "bcdfghkl" for b in "aeioumnr"]
+    page = lambda w: f"<html><body><main><h1>x</h1><p>{' '.join(w)}</p></main></body></html>"
+    rows = [(1, "a", page(words)), (1, "a", page(words)), (2, "b", page(words[:20])), (3, "c", page(words[:20])), (4, "c", page(words[18:40])), (5, "d", page(words[50:55])), (6, "e", page(words[50:55])), (None, "f", page(words[30:40]))]
+    df = frame(spark, rows)
+    facts = {r.fetch_id: r for r in stuffing.page_facts(df).collect()}
+    assert facts[1].shingles == len(facts[1].phrases) == 61 and facts[2].shingles == len(facts[2].phrases) == 17  # the heading is one
+    want = {1: 16 + 1 + 1 + 6, 2: 17, 3: 17, 4: 6 + 1, 5: 2, 6: 2}
+    counted = stuffing.carried_phrases(stuffing.page_facts(df.repartition(3)), F.lit(True)).collect()
+    assert {r.fetch_id: r.hits for r in counted} == want
+    got = {r.fetch_id: r.carried for r in stuffing.stuffed(df).collect()}
+    assert got[1] == want[1] / 61
+
+
+def test_short_texts_are_phrases():
+    rng = np.random.default_rng(3)
+    texts = [[str(x) for x in rng.integers(0, 3, n)] for n in rng.integers(1, 9, 200)]
+    runs = [tuple(t[i : i + 5]) for t in texts for i in range(max(1, len(t) - 4))]
+    hashes = stuffing.phrase_hashes(texts).tolist()
+    assert len(hashes) == len(runs) and len(set(zip(hashes, runs))) == len(set(hashes)) == len(set(runs))
