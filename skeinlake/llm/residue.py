@@ -112,6 +112,12 @@ _LONGEST_WHOLE = max(map(len, WHOLE)) + 8
 _OUTER = " \t\n\r\f\v.!?…:。！？|·•"
 #: Texts of fewer words are always read sentence by sentence.
 _FEW = 60
+#: Every sign that can end a sentence, wherever it stands: a whole heading of ``WHOLE`` holds none of them inside.
+_ENDS = re.compile(r"[.!?…。！？\n|·•]+")
+#: Of ASCII text, the letters alone, and the signs of ``_ENDS`` as line ends.
+_LETTERS = {i: chr(i) if chr(i).isalpha() else " " for i in range(128)}
+_ENDED = {ord(x): "\n" for x in ".!?|"}
+_BLANK = _OUTER + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def automaton():
@@ -160,6 +166,18 @@ def is_blind_text(words: list[str]) -> bool:
     return sum(map(_latin.__getitem__, words)) >= LATIN_SHARE * n if n >= LATIN_WORDS else sum(w in LATIN for w in words) >= LATIN_SHARE * n
 
 
+def _words(folded: str) -> list[str]:
+    return folded.translate(_LETTERS).split() if folded.isascii() else _WORDS.findall(folded)
+
+
+def _may_be_whole(folded: str) -> bool:
+    """Whether some sentence can be one of ``WHOLE``; never false where one is."""
+    for x in folded.translate(_ENDED).split("\n") if folded.isascii() else _ENDS.split(folded):
+        if len(x) <= _LONGEST_WHOLE and x.strip(_BLANK) in WHOLE:
+            return True
+    return False
+
+
 def coverage(text: str) -> tuple[float, dict[str, int]]:
     """Share of the words of a text that stand in marked sentences, and the marked words by kind.
 
@@ -167,6 +185,11 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
     headings and Latin-like words together can mark enough of it for ``COVERAGE``.
     """
     folded = fold(text)
+    hits = list(automaton().iter(folded))
+    every = _words(folded)
+    few_latin = len(every) >= _FEW and sum(map(_latin.__getitem__, every)) / LATIN_SHARE < 0.8 * COVERAGE * len(every)
+    if few_latin and not hits and not _may_be_whole(folded):
+        return 0.0, {}
     spans, at = [], 0
     for m in _SENTENCE.finditer(folded):
         at, before = m.end(), at
@@ -174,20 +197,19 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
     spans.append((at, len(folded)))
     starts = [a for a, _ in spans]
     kind: dict[int, str] = {}
-    for end, (size, k) in automaton().iter(folded):
+    for end, (size, k) in hits:
         if end < size or not folded[end - size].isalpha() or folded[end] > "\u2e80":
             kind.setdefault(bisect_right(starts, end - size + 1) - 1, k)
     whole = {i for i, (a, b) in enumerate(spans) if b - a <= _LONGEST_WHOLE and folded[a:b].strip(_OUTER) in WHOLE}
-    words = _WORDS.findall(folded)
-    if len(words) >= _FEW:
-        most = sum(len(_WORDS.findall(folded[slice(*spans[i])])) for i in {*kind, *whole}) + sum(map(_latin.__getitem__, words)) / LATIN_SHARE
-        if most < 0.8 * COVERAGE * len(words):
+    if few_latin:
+        most = sum(len(_words(folded[slice(*spans[i])])) for i in {*kind, *whole}) + sum(map(_latin.__getitem__, every)) / LATIN_SHARE
+        if most < 0.8 * COVERAGE * len(every):
             return 0.0, {}
     total = marked = 0
     kinds: dict[str, int] = {}
     for i, (a, b) in enumerate(spans):
         s = folded[a:b]
-        words = _WORDS.findall(s)
+        words = _words(s)
         n = len(words) or (1 if s.strip() else 0)
         if not n:
             continue

@@ -225,3 +225,14 @@ def test_short_texts_are_phrases():
     runs = [tuple(t[i : i + 5]) for t in texts for i in range(max(1, len(t) - 4))]
     hashes = stuffing.phrase_hashes(texts).tolist()
     assert len(hashes) == len(runs) and len(set(zip(hashes, runs))) == len(set(hashes)) == len(set(runs))
+
+
+def test_plain_text_is_not_cut_into_sentences(monkeypatch):
+    """Sentences are looked at only where wording, whole headings or Latin words can mark some; what decides stays the same."""
+    plain = "The lamp on the desk gives a warm light. " * 20
+    for end in (". ", "! ", "\n", " | ", " · ", "。 ", "… "):
+        marked = end.join(["Page not found", "Access denied", "été 404 Not Found"] * 12)
+        assert residue.coverage(marked)[0] > 0.5 and residue.coverage(plain[:200] + end + marked)[1]["error"] >= 50
+        assert residue._may_be_whole(residue.fold(plain + end + "Loading:" + end + plain))
+    monkeypatch.setattr(residue, "_SENTENCE", None)
+    assert residue.coverage(plain) == (0.0, {}) and residue.coverage(plain.replace("lamp", "Lämpchen")) == (0.0, {})
