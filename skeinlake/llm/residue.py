@@ -226,8 +226,8 @@ def coverage(text: str) -> tuple[float, dict[str, int]]:
     return (marked / total if total else 0.0), kinds
 
 
-def _has_placeholder(text: str) -> bool:
-    for sign in _SIGNS:
+def _has_placeholder(text: str, signs=_SIGNS) -> bool:
+    for sign in signs:
         if sign in text:
             return PLACEHOLDER.search(without_code(text)) is not None
     return False
@@ -237,6 +237,8 @@ def residue_kind(page: Page) -> tuple[str, float]:
     """``placeholder``, ``error``, ``script``, ``filler`` or "", with the marked share of the own words."""
     if _has_placeholder(page.title):
         return "placeholder", 1.0
+    every = "\n".join([s.text for s in page.segments])
+    signs = [x for x in _SIGNS if x in every]
     own, notice, listed = [], [], 0
     for s in page.segments:
         t = s.text
@@ -249,7 +251,7 @@ def residue_kind(page: Page) -> tuple[str, float]:
             if not s.junk:
                 own.append((s, "\x04"))
             continue
-        if _has_placeholder(t):
+        if signs and _has_placeholder(t, signs):
             return "placeholder", 1.0
         if not s.junk:
             if s.links >= 0.8 * len(t):

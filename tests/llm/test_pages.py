@@ -236,3 +236,14 @@ def test_plain_text_is_not_cut_into_sentences(monkeypatch):
         assert residue._may_be_whole(residue.fold(plain + end + "Loading:" + end + plain))
     monkeypatch.setattr(residue, "_SENTENCE", None)
     assert residue.coverage(plain) == (0.0, {}) and residue.coverage(plain.replace("lamp", "Lämpchen")) == (0.0, {})
+
+
+def test_placeholders_are_sought_once_a_page(monkeypatch):
+    """Texts are searched for placeholders only where the page has a sign of one; which page is a placeholder stays the same."""
+    import html
+
+    for sign in ("{{ name }}", "%%NAME%%", "[INSERT NAME]", "<?php echo 1 ?>", "__MSG_NAME__", "*|NAME|*", "TODO: write this"):
+        assert residue.residue_kind(read_page(ARTICLE.replace("</article>", f"<p>{html.escape(sign)}</p></article>")))[0] == "placeholder"
+    calls, real = [], residue._has_placeholder
+    monkeypatch.setattr(residue, "_has_placeholder", lambda *a: calls.append(a) or real(*a))
+    assert residue.residue_kind(read_page(ARTICLE))[0] == "" and len(calls) == 1  # the title
